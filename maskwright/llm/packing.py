@@ -10,13 +10,14 @@ A task that runs again after a lost executor reads the same split in the same or
 
 Edge cases: a null or empty text is one piece holding only the end id; repeated rows are packed each on its own; a null
 id passes through; an empty table gives no rows; other columns are not read. Text is never cut before tokenising: words
-(runs of non-white bytes) are encoded each once and joined, which equals encoding the whole text because the
+(runs of non-white bytes) are encoded by themselves and joined, which equals encoding the whole text because the
 tokenizer's pre-tokens never cross white space.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,48 +30,114 @@ from maskwright.llm.support import table
 
 WINDOW = 4096
 END_ID = 2
-#: Distinct words whose ids a worker keeps; the memory is freed when more have been met.
-CACHED_WORDS = 400_000
+#: Distinct words (and parts of words) whose ids a worker keeps in each of two generations.
+CACHED_WORDS = 300_000
+
+_TRAILING = b".,;:!?*#&%$|\"()"
+
+
+class _Cache(dict):
+    """Two generations: when the younger is full it becomes the elder, so words still met often are never learned again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.elder = most, {}
+
+    def find(self, key: bytes) -> bytes | None:
+        got = self.get(key)
+        if got is None and (got := self.elder.get(key)) is not None:
+            self[key] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.elder = dict(self)
+            self.clear()
 
 
 class WordEncoder:
-    """ids of texts by a tokenizer whose pre-tokens lie within white-space separated words; every distinct word is encoded once."""
+    """ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose pre-tokens lie within white-space separated words.
+
+    Every distinct word is looked up; an unseen one is split into a run of letters and the ASCII punctuation behind it,
+    which the tokenizer's pattern never joins, and only unseen parts are encoded, in one batch for many texts.
+    """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > CACHED_WORDS:
-            self._clear()
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        base = len(self.index)
-        self.index.update((w, base + k) for k, w in enumerate(words))
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in got)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got])])
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        self.words, self.parts = _Cache(CACHED_WORDS), _Cache(CACHED_WORDS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    @staticmethod
+    def split(word: bytes) -> tuple[bytes, bytes]:
+        """(letters, punctuation) if the word is that, in lower case where it is ASCII, else (word, nothing)."""
+        core = word.rstrip(_TRAILING)
+        if core.isalpha():
+            return core.lower(), word[len(core) :]
+        if core and not core.isascii() and core.decode().isalpha():
+            return core, word[len(core) :]
+        return word, b""
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        cut = {w: self.split(w) for w in words}
+        have = {x: self.parts.find(x) for pair in cut.values() for x in pair if x}
+        new = {x: x.decode() for x, ids in have.items() if ids is None}
+        for learned in (self._runs([x for x, t in new.items() if t.isalpha()]), self._each([x for x, t in new.items() if not t.isalpha()])):
+            have.update(learned)
+            self.parts.update(learned)
+        have[b""] = b""
+        self.parts.trim()
+        return {w: have[core] + have[tail] for w, (core, tail) in cut.items()}
+
+    def _each(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        got = self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
+        return {x: array("I", e.ids).tobytes() for x, e in zip(parts, got, strict=True)}
+
+    def _runs(self, parts: list[bytes], at_once: int = 500) -> dict[bytes, bytes]:
+        """Of runs of letters, many in one text: each is one pre-token, whose last id is the only one marked as a word's end."""
+        groups = [parts[k : k + at_once] for k in range(0, len(parts), at_once)]
+        found = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(group) or len(ids) and stop[-1] != len(ids):
+                found |= self._each(group)  # a tokenizer that marks no ends, or a letter that it normalises away
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+            found.update((x, raw[at[k] : at[k + 1]]) for k, x in enumerate(group))
+        return found
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; one call should hold some thousand words so that unseen ones are encoded together."""
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.index}
-        if new:
-            if len(self.index) + len(new) > CACHED_WORDS:
-                new = {w for words in split for w in words}
-            self._learn(sorted(new))
-        get = self.index.__getitem__
-        for words in split:
-            rows = np.fromiter(map(get, words), np.int64, len(words))
-            start, size = self.at[rows], self.at[rows + 1] - self.at[rows]
-            stop = np.cumsum(size)
-            total = int(stop[-1]) if len(stop) else 0
-            yield self.flat[np.arange(total) + np.repeat(start - (stop - size), size)]
+        found, unseen, get = [], set(), self.words.get
+        for t in texts:
+            words = t.split()
+            ids = list(map(get, words))
+            found.append((words, ids) if None in ids else (None, ids))
+            if found[-1][0]:
+                unseen.update(w for w, x in zip(words, ids, strict=True) if x is None)
+        learned = {w: x for w in unseen if (x := self.words.find(w)) is not None}
+        learned |= self._learn(unseen - learned.keys())
+        self.words.update(learned)
+        for words, ids in found:
+            yield b"".join(ids if words is None else [learned[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+        self.words.trim()
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process and vocabulary, so that the tasks of a worker share what it has learned."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 class SumOfSquares:
@@ -129,12 +196,12 @@ class TaskPacker:
         if start < len(ids):
             window, offset = self.levels.place(len(ids) - start)
             held = self.partial.setdefault(window, [])
-            held.append((row, start, ids[start:].copy()))
+            held.append((row, start, ids[start:]))
             if offset + len(ids) - start == w:
                 yield from self._close(window)
 
     def _piece(self, row: int, start: int, ids: np.ndarray, window: int, offset: int) -> tuple[int, int, int, int, int, int]:
-        return row, start, len(ids), window, offset, zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
+        return row, start, len(ids), window, offset, zlib.crc32(ids.data)
 
     def _close(self, window: int) -> Iterator[tuple[int, int, int, int, int, int]]:
         offset = 0
@@ -173,8 +240,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer or default_tokenizer())
+        encoder = worker_encoder(tokenizer or default_tokenizer())
         packer = TaskPacker(window)
+        end = array("I", [end_id]).tobytes()
         high = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[int | None, int, np.ndarray | None]] = {}  # row -> id, tokens, ids of documents not all written yet
         pending: dict[int, int] = {}
@@ -199,7 +267,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             ids_in = batch.column(0).to_pylist()
             for at, texts in _chunks(batch.column(1)):
                 for k, ids in enumerate(encoder.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id))
+                    ids = np.frombuffer(ids + end, "<u4")
                     held[n] = (ids_in[at + k], len(ids), ids if with_ids else None)
                     pending[n] = len(ids)
                     put(packer.add(n, ids))
@@ -213,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     return rows_in.mapInArrow(batches, ", ".join(f"{c} long" for c in names) + ", ids array<int>" * with_ids)
 
 
-def _chunks(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) of consecutive rows of about ``most`` bytes; null reads as empty."""
     texts, size, first = [], 0, 0
     for k, x in enumerate(col.cast(pa.binary())):

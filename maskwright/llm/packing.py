@@ -31,7 +31,7 @@ from maskwright.llm.support import table
 WINDOW = 4096
 END_ID = 2
 #: Distinct words (and parts of words) whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 _TRAILING = b".,;:!?*#&%$|\"()"
 
@@ -43,12 +43,6 @@ class _Cache(dict):
         super().__init__()
         self.most, self.elder = most, {}
 
-    def find(self, key: bytes) -> bytes | None:
-        got = self.get(key)
-        if got is None and (got := self.elder.get(key)) is not None:
-            self[key] = got
-        return got
-
     def trim(self) -> None:
         if len(self) > self.most:
             self.elder = dict(self)
@@ -69,31 +63,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = _Cache(CACHED_WORDS), _Cache(CACHED_WORDS)
+        self.words, self.parts = _Cache(CACHED_WORDS), _Cache(CACHED_WORDS // 2)
+        self.parts[b""] = b""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    @staticmethod
-    def split(word: bytes) -> tuple[bytes, bytes]:
-        """(letters, punctuation) if the word is that, in lower case where it is ASCII, else (word, nothing)."""
-        core = word.rstrip(_TRAILING)
-        if core.isalpha():
-            return core.lower(), word[len(core) :]
-        if core and not core.isascii() and core.decode().isalpha():
-            return core, word[len(core) :]
-        return word, b""
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        cut = {w: self.split(w) for w in words}
-        have = {x: self.parts.find(x) for pair in cut.values() for x in pair if x}
-        new = {x: x.decode() for x, ids in have.items() if ids is None}
-        for learned in (self._runs([x for x, t in new.items() if t.isalpha()]), self._each([x for x, t in new.items() if not t.isalpha()])):
-            have.update(learned)
-            self.parts.update(learned)
-        have[b""] = b""
-        self.parts.trim()
-        return {w: have[core] + have[tail] for w, (core, tail) in cut.items()}
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of unseen words into the cache.
+
+        A word that is letters and then punctuation is two parts, the letters in lower case where they are ASCII; any
+        other word is one part.
+        """
+        known, elder, parts, old = self.words, self.words.elder, self.parts, self.parts.elder
+        pending, new = [], set()
+        for w in words:
+            ids = elder.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            core = w.rstrip(_TRAILING)
+            size = len(core)
+            if core.isalpha():
+                core = core.lower()
+            elif not (size and not core.isascii() and core.decode().isalpha()):
+                core, size = w, len(w)
+            tail = w[size:]
+            a, b = parts.get(core), parts.get(tail)
+            if a is None:
+                a = old.get(core)
+                if a is None:
+                    new.add(core)
+                else:
+                    parts[core] = a
+            if b is None:
+                new.add(tail)
+            if a is None or b is None:
+                pending.append((w, core, tail))
+            else:
+                known[w] = a + b
+        letters, others = [], []
+        for x in new:
+            (letters if x.isalpha() or not x.isascii() and x.decode().isalpha() else others).append(x)
+        parts.update(self._runs(letters))
+        parts.update(self._each(others))
+        for w, core, tail in pending:
+            known[w] = parts[core] + parts[tail]
+        parts.trim()
+        parts[b""] = b""
 
     def _each(self, parts: list[bytes]) -> dict[bytes, bytes]:
         got = self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
@@ -115,18 +132,16 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; one call should hold some thousand words so that unseen ones are encoded together."""
-        found, unseen, get = [], set(), self.words.get
-        for t in texts:
-            words = t.split()
-            ids = list(map(get, words))
-            found.append((words, ids) if None in ids else (None, ids))
-            if found[-1][0]:
-                unseen.update(w for w, x in zip(words, ids, strict=True) if x is None)
-        learned = {w: x for w in unseen if (x := self.words.find(w)) is not None}
-        learned |= self._learn(unseen - learned.keys())
-        self.words.update(learned)
-        for words, ids in found:
-            yield b"".join(ids if words is None else [learned[w] if x is None else x for w, x in zip(words, ids, strict=True)])
+        split = [t.split() for t in texts]
+        unseen: set[bytes] = set()
+        for words in split:
+            unseen.update(words)
+        unseen.difference_update(self.words)
+        if unseen:
+            self._learn(unseen)
+        get = self.words.__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
         self.words.trim()
 
 

@@ -27,6 +27,7 @@ repeated rows get the same component; a null id takes part, and a component of n
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,7 +63,7 @@ def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
 
 def parity_bitmap(grams: np.ndarray) -> bytes:
     """For each cell the parity of the number of elements hashed to it; two to four cells an element."""
-    bits = max(64, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else 64
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
     counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -202,23 +203,30 @@ def _regions(prefixes: DataFrame) -> DataFrame:
 
 
 def _bounded(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Adds ``low``, a lower bound of the distance to the pivot, and ``may``, whether a link is still possible."""
-    member = sets.select(F.col("sid"), F.col("n"), F.col("bitmap"))
-    pivot = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pb"))
+    """Adds the size ``n``, a lower bound ``low`` of the distance to the pivot, and whether a link is still possible (``may``).
+
+    Sizes alone exclude most pairs; only the others are joined with the bitmaps.
+    """
+    sized = regions.join(sets.select("sid", "n"), "sid").join(sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pn")), "pivot")
+    sized = materialize(sized.withColumn("fit", F.least("n", "pn") * den >= F.greatest("n", "pn") * num), "sized")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            p, s, n, b, pn, pb = (c.to_pylist() for c in batch.columns)
+            p, s, n, pn, b, pb = (c.to_pylist() for c in batch.columns)
             low, may = [], []
             for k in range(len(p)):
                 diff = least_difference(_bitmap(n[k], b[k]), _bitmap(pn[k], pb[k]))
                 total = n[k] + pn[k]
                 low.append(2 * diff / (total + diff))
                 may.append(diff * (den + num) <= total * (den - num))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.float64()), pa.array(may, pa.bool_())], ["pivot", "sid", "low", "may"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(low, pa.float64()), pa.array(may, pa.bool_())], ["pivot", "sid", "n", "low", "may"])
 
-    rows = regions.join(member, "sid").join(pivot, "pivot").select("pivot", "sid", "n", "bitmap", "pn", "pb")
-    return rows.mapInArrow(batches, "pivot long, sid long, low double, may boolean")
+    member = sets.select("sid", "bitmap")
+    pivot = sets.select(F.col("sid").alias("pivot"), F.col("bitmap").alias("pb"))
+    rows = sized.filter("fit").join(member, "sid").join(pivot, "pivot").select("pivot", "sid", "n", "pn", "bitmap", "pb")
+    near = rows.mapInArrow(batches, "pivot long, sid long, n long, low double, may boolean")
+    far = sized.filter("not fit").select("pivot", "sid", "n", (1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("low"), F.lit(False).alias("may"))
+    return near.unionByName(far)
 
 
 def _whole_sets(docs: DataFrame, n: int, seed: int, sids: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,58 +272,78 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     return rows.select("a", "b", "ga", "gb").mapInArrow(batches, "a long, b long, distance double, linked boolean")
 
 
-def _ring_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, low, la, lb): pairs of different components in a region that may link.
+def _ring_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """(a, b): pairs of different components in a region that may link; with ``best`` the most promising one of each two components.
 
     ``members(pivot, sid, low, high, label)``: bounds of the distance to the pivot. A member joins every ring its bounds
-    touch and the next one. Rings are split into blocks by hash, and each two blocks are compared by bitmaps.
+    touch and the next one; sizes are cut likewise into classes one ratio wide. A pair is compared in the first ring and
+    class that both are in. What still shares a ring and class is split into blocks by hash, and each two blocks are
+    compared by bitmaps.
     """
-    radius = (den - num) / den
-    ring = members.select("pivot", "sid", "low", "high", "label", F.explode(F.sequence(F.floor(F.col("low") / radius).cast("int"), (F.floor(F.col("high") / radius) + 1).cast("int"))).alias("ring"))
+    # a little wider than they need to be, so that rounding cannot part two that may link
+    radius, ratio = (den - num) / den * 1.0000001, math.log(den / num) * 1.0000001
+    ring = members.withColumn("own_class", F.floor(F.log(F.col("n")) / ratio).cast("int"))
+    ring = ring.withColumn("class", F.explode(F.array("own_class", F.col("own_class") + 1)))
+    ring = ring.withColumn("own_ring", F.floor(F.col("low") / radius).cast("int"))
+    ring = ring.withColumn("ring", F.explode(F.sequence("own_ring", (F.floor(F.col("high") / radius) + 1).cast("int"))))
     # neither a ring of one component nor one in which only the pivot's own component is near needs comparing
-    size = ring.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
-    blocks = ring.join(size.select("pivot", "ring", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), ["pivot", "ring"])
+    cell = ["pivot", "ring", "class"]
+    # a pair meets where the later of the two starts, so a cell in which none starts has nothing to compare
+    size = ring.groupBy(*cell).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own_ring").alias("r"), F.max("own_class").alias("c"))
+    size = size.filter((F.col("l0") != F.col("l1")) & (F.col("r") == F.col("ring")) & (F.col("c") == F.col("class")))
+    blocks = ring.join(size.select(*cell, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), cell)
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    rows = blocks.join(sets.select("sid", "n", "bitmap"), "sid").select("pivot", "ring", "bi", "bj", "own", "sid", "n", "bitmap", "low", "high", "label")
-    rows = rows.repartition("pivot", "ring", "bi", "bj").sortWithinPartitions("pivot", "ring", "bi", "bj")
+    rows = blocks.join(sets.select("sid", "bitmap"), "sid").select(*cell, "bi", "bj", "own", "sid", "n", "bitmap", "low", "high", "label", "own_ring", "own_class")
+    rows = rows.repartition(*cell, "bi", "bj").sortWithinPartitions(*cell, "bi", "bj")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
 
         def compare() -> None:
-            _, _, bi, bj = key
-            for i, (own, sid, n, bits, low, high, label) in enumerate(group):
-                for own2, sid2, n2, bits2, low2, high2, label2 in group[i + 1 :]:
+            _, ring, size_class, bi, bj = key
+            most: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for i, (own, sid, n, bits, low, high, label, r, c) in enumerate(group):
+                for own2, sid2, n2, bits2, low2, high2, label2, r2, c2 in group[i + 1 :]:
                     if label == label2 or bi != bj and own == own2 or low - high2 > radius or low2 - high > radius:
                         continue
+                    if max(r, r2) != ring or max(c, c2) != size_class:
+                        continue
                     if min(n, n2) * den < max(n, n2) * num:
                         continue
                     diff = least_difference(bits, bits2)
                     if diff * (den + num) <= (n + n2) * (den - num):
-                        pair = (sid, sid2, label, label2) if sid < sid2 else (sid2, sid, label2, label)
-                        out.append((*pair, 2 * diff / (n + n2 + diff)))
+                        found = (2 * diff / (n + n2 + diff), min(sid, sid2), max(sid, sid2))
+                        two = (min(label, label2), max(label, label2))
+                        if not best:
+                            out.append((*found, *two))
+                        elif two not in most or found < most[two]:
+                            most[two] = found
+            out.extend((*found, *two) for two, found in most.items())
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["a", "b", "la", "lb", "low"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.float64()] + [pa.int64()] * 4, strict=True)], ["low", "a", "b", "la", "lb"])
 
         for batch in it:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != key:
+                if row[:5] != key:
                     if key is not None:
                         compare()
-                    key, group = row[:4], []
-                own, sid, n, raw, low, high, label = row[4:]
-                group.append((own, sid, n, _bitmap(n, raw), low, high, label))
+                    key, group = row[:5], []
+                own, sid, n, raw, *bounds = row[5:]
+                group.append((own, sid, n, _bitmap(n, raw), *bounds))
             if len(out) > 10_000:
                 yield flush()
         if key is not None:
             compare()
         yield flush()
 
-    return rows.mapInArrow(batches, "a long, b long, la long, lb long, low double").groupBy("a", "b").agg(F.min("low").alias("low"), F.min("la").alias("la"), F.min("lb").alias("lb"))
+    pairs = rows.mapInArrow(batches, "low double, a long, b long, la long, lb long")
+    if best:
+        return pairs.groupBy("la", "lb").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
@@ -355,24 +383,20 @@ def set_components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
 
     # what is left in regions of several components
     exact = star.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance")
-    members = regions.join(exact, ["pivot", "sid"], "left").select("pivot", "sid", F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
-    members = _labelled(members, labels, "sid", "label")
-    pairs = materialize(_ring_pairs(members, sets, num, den), "pairs")
-    rounds = 0
-    while not pairs.isEmpty():
+    members = regions.join(exact, ["pivot", "sid"], "left").select("pivot", "sid", "n", F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
+    # first the most promising pair of each two components, whose links often join the others too; then all that remain
+    checked = star.select("a", "b")
+    for step, best in (("best", True), ("rest", False)):
+        pairs = _ring_pairs(_labelled(members, labels, "sid", "label"), sets, num, den, best)
+        pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"pairs-{step}")
+        if pairs.isEmpty():
+            continue
         extra = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(grams.select("sid"), "sid", "left_anti")
-        if not extra.isEmpty():
-            grams = materialize(grams.unionByName(_whole_sets(docs, n, seed, extra, sets)), f"grams{rounds}")
-        if rounds == 0:  # the most promising pair of each two components; the links often join the others too
-            best = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("low", "a", "b")).alias("p")).select("p.*")
-        else:
-            best = pairs.select("a", "b")
-        checked = materialize(_verified(best, grams, num, den), f"checked{rounds}")
-        labels = _merged(labels, checked.filter("linked").select("a", "b"), f"merge{rounds}")
-        left = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "low")
-        left = _labelled(_labelled(left, labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
-        pairs = materialize(left, f"pairs{rounds}")
-        rounds += 1
+        more = materialize(_whole_sets(docs, n, seed, extra, sets), f"grams-{step}")
+        grams = grams.unionByName(more)
+        found = materialize(_verified(pairs, grams, num, den), f"checked-{step}")
+        labels = _merged(labels, found.filter("linked").select("a", "b"), f"merge-{step}")
+        checked = checked.unionByName(found.select("a", "b"))
     return rows, labels
 
 

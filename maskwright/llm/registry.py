@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "quality_qda", "jaccard_join", "sharding", "packing")
+MODULES = ("quality_rules", "quality_qda", "jaccard_join", "sharding", "secret_scan", "chat", "html_text", "packing", "decontaminate")
 
 
 def _modules() -> list:

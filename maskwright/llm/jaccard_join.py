@@ -62,8 +62,8 @@ def _identity(grams: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def parity_bitmap(grams: np.ndarray) -> bytes:
-    """For each cell the parity of the number of elements hashed to it; two to four cells an element."""
-    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    """For each cell the parity of the number of elements hashed to it; one to two cells an element."""
+    bits = max(64, 1 << max(0, len(grams) - 1).bit_length())
     counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -272,59 +272,71 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     return rows.select("a", "b", "ga", "gb").mapInArrow(batches, "a long, b long, distance double, linked boolean")
 
 
-def _ring_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """(a, b): pairs of different components in a region that may link; with ``best`` the most promising one of each two components.
+CELL = ["pivot", "ring", "class"]
+
+
+def _cells(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Members by cell (pivot, ring, class).
 
     ``members(pivot, sid, low, high, label)``: bounds of the distance to the pivot. A member joins every ring its bounds
-    touch and the next one; sizes are cut likewise into classes one ratio wide. A pair is compared in the first ring and
-    class that both are in. What still shares a ring and class is split into blocks by hash, and each two blocks are
-    compared by bitmaps.
+    touch and the next one; sizes are cut likewise into classes one ratio wide. Any two members that may link share a
+    cell, and the first ring and class that both are in is one of them.
     """
     # a little wider than they need to be, so that rounding cannot part two that may link
     radius, ratio = (den - num) / den * 1.0000001, math.log(den / num) * 1.0000001
     ring = members.withColumn("own_class", F.floor(F.log(F.col("n")) / ratio).cast("int"))
     ring = ring.withColumn("class", F.explode(F.array("own_class", F.col("own_class") + 1)))
     ring = ring.withColumn("own_ring", F.floor(F.col("low") / radius).cast("int"))
-    ring = ring.withColumn("ring", F.explode(F.sequence("own_ring", (F.floor(F.col("high") / radius) + 1).cast("int"))))
+    return ring.withColumn("ring", F.explode(F.sequence("own_ring", (F.floor(F.col("high") / radius) + 1).cast("int"))))
+
+
+def _cell_pairs(ring: DataFrame, sets: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """(pivot, ring, class, a, b, la, lb, low): pairs of different components that may link, from each cell.
+
+    With ``best`` one pair of each two components in a cell, the most promising.
+    The members of a cell are split into blocks by hash, and each two blocks are compared by bitmaps.
+    """
+    radius = (den - num) / den * 1.0000001
     # neither a ring of one component nor one in which only the pivot's own component is near needs comparing
-    cell = ["pivot", "ring", "class"]
     # a pair meets where the later of the two starts, so a cell in which none starts has nothing to compare
-    size = ring.groupBy(*cell).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own_ring").alias("r"), F.max("own_class").alias("c"))
+    size = ring.groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own_ring").alias("r"), F.max("own_class").alias("c"))
     size = size.filter((F.col("l0") != F.col("l1")) & (F.col("r") == F.col("ring")) & (F.col("c") == F.col("class")))
-    blocks = ring.join(size.select(*cell, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), cell)
+    blocks = ring.join(size.select(*CELL, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), CELL)
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    rows = blocks.join(sets.select("sid", "bitmap"), "sid").select(*cell, "bi", "bj", "own", "sid", "n", "bitmap", "low", "high", "label", "own_ring", "own_class")
-    rows = rows.repartition(*cell, "bi", "bj").sortWithinPartitions(*cell, "bi", "bj")
+    rows = blocks.join(sets.select("sid", "bitmap"), "sid").select(*CELL, "bi", "bj", "own", "sid", "n", "bitmap", "low", "high", "label", "own_ring", "own_class")
+    rows = rows.repartition(*CELL, "bi", "bj").sortWithinPartitions(*CELL, "bi", "bj")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
 
         def compare() -> None:
-            _, ring, size_class, bi, bj = key
+            *cell, bi, bj = key
             most: dict[tuple[int, int], tuple[float, int, int]] = {}
             for i, (own, sid, n, bits, low, high, label, r, c) in enumerate(group):
                 for own2, sid2, n2, bits2, low2, high2, label2, r2, c2 in group[i + 1 :]:
                     if label == label2 or bi != bj and own == own2 or low - high2 > radius or low2 - high > radius:
                         continue
-                    if max(r, r2) != ring or max(c, c2) != size_class:
+                    if max(r, r2) != cell[1] or max(c, c2) != cell[2]:
                         continue
                     if min(n, n2) * den < max(n, n2) * num:
                         continue
                     diff = least_difference(bits, bits2)
-                    if diff * (den + num) <= (n + n2) * (den - num):
-                        found = (2 * diff / (n + n2 + diff), min(sid, sid2), max(sid, sid2))
-                        two = (min(label, label2), max(label, label2))
-                        if not best:
-                            out.append((*found, *two))
-                        elif two not in most or found < most[two]:
-                            most[two] = found
-            out.extend((*found, *two) for two, found in most.items())
+                    if diff * (den + num) > (n + n2) * (den - num):
+                        continue
+                    pair = (2 * diff / (n + n2 + diff), min(sid, sid2), max(sid, sid2))
+                    two = (min(label, label2), max(label, label2))
+                    if not best:
+                        out.append((*cell, *two, *pair))
+                    elif two not in most or pair < most[two]:
+                        most[two] = pair
+            out.extend((*cell, *two, *pair) for two, pair in most.items())
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.float64()] + [pa.int64()] * 4, strict=True)], ["low", "a", "b", "la", "lb"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*CELL, "la", "lb", "low", "a", "b"])
 
         for batch in it:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -340,10 +352,7 @@ def _ring_pairs(members: DataFrame, sets: DataFrame, num: int, den: int, best: b
             compare()
         yield flush()
 
-    pairs = rows.mapInArrow(batches, "low double, a long, b long, la long, lb long")
-    if best:
-        return pairs.groupBy("la", "lb").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
-    return pairs.select("a", "b").distinct()
+    return rows.mapInArrow(batches, "pivot long, ring int, class int, la long, lb long, low double, a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
@@ -360,6 +369,17 @@ def _merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return materialize(old.unionByName(new), f"{name}-merged")
 
 
+def _link(docs: DataFrame, n: int, seed: int, num: int, den: int, pairs: DataFrame, sets: DataFrame, grams: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, grams) after comparing further pairs exactly."""
+    pairs = materialize(pairs, f"pairs-{name}")
+    if pairs.isEmpty():
+        return labels, grams
+    extra = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(grams.select("sid"), "sid", "left_anti")
+    grams = grams.unionByName(materialize(_whole_sets(docs, n, seed, extra, sets), f"grams-{name}"))
+    found = materialize(_verified(pairs, grams, num, den), f"checked-{name}")
+    return _merged(labels, found.filter("linked").select("a", "b"), f"merge-{name}"), grams
+
+
 def set_components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): rows(doc_id, text_key, n, h1, h2) for each document, labels(node, label) for sets linked with others."""
     seed = 0
@@ -385,18 +405,15 @@ def set_components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     exact = star.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance")
     members = regions.join(exact, ["pivot", "sid"], "left").select("pivot", "sid", "n", F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
     # first the most promising pair of each two components, whose links often join the others too; then all that remain
-    checked = star.select("a", "b")
-    for step, best in (("best", True), ("rest", False)):
-        pairs = _ring_pairs(_labelled(members, labels, "sid", "label"), sets, num, den, best)
-        pairs = materialize(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"pairs-{step}")
-        if pairs.isEmpty():
-            continue
-        extra = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(grams.select("sid"), "sid", "left_anti")
-        more = materialize(_whole_sets(docs, n, seed, extra, sets), f"grams-{step}")
-        grams = grams.unionByName(more)
-        found = materialize(_verified(pairs, grams, num, den), f"checked-{step}")
-        labels = _merged(labels, found.filter("linked").select("a", "b"), f"merge-{step}")
-        checked = checked.unionByName(found.select("a", "b"))
+    ring = _cells(members, num, den)
+    best = materialize(_cell_pairs(_labelled(ring, labels, "sid", "label"), sets, num, den, True), "best")
+    labels, grams = _link(docs, n, seed, num, den, best.groupBy("la", "lb").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b"), sets, grams, labels, "best")
+    apart = _labelled(_labelled(best.drop("la", "lb"), labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
+    # a cell that gave a pair of components which are still apart is searched again, whole
+    again = materialize(ring.join(apart.select(*CELL).distinct(), CELL, "left_semi"), "again")
+    if not again.isEmpty():
+        rest = _cell_pairs(_labelled(again, labels, "sid", "label"), sets, num, den, False).select("a", "b").distinct()
+        labels, _ = _link(docs, n, seed, num, den, rest, sets, grams, labels, "rest")
     return rows, labels
 
 

@@ -7,8 +7,8 @@ up with that many flipped bits misses none. Candidates are verified by the exact
 counts. The radius lies five standard deviations beyond the expected distance at
 the similarity threshold.
 
-A window that holds no shingle of any item has similarity 0, so only stretches around such shingles are fingerprinted:
-this skips nearly all text and loses nothing. Items are taken in blocks of bounded size, each broadcast, so a benchmark
+Similarity s needs s (a + b) / (1 + s) common shingles between sets of a and b, so only windows in which as many positions
+hold shingles of items of that size are fingerprinted: this skips nearly all text and loses nothing. Items are taken in blocks of bounded size, each broadcast, so a benchmark
 of any size is handled; documents are read once for each block and no row is shuffled.
 
 Edge cases: null or empty texts and items match nothing; fewer words than a shingle form one shingle; repeated rows and
@@ -43,15 +43,30 @@ _TRIM = np.zeros(256, bool)
 _TRIM[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
+def _trim_runs(block: WordBlock) -> None:
+    """Like the loop below in one sweep over all bytes."""
+    solid, here = ~_TRIM[block.data], np.arange(len(block.data), dtype=np.int64)
+    after = np.minimum.accumulate(np.where(solid, here, len(here))[::-1])[::-1]  # the next byte that is not trimmed
+    before = np.maximum.accumulate(np.where(solid, here, -1))  # the last one
+    some = np.flatnonzero(block.start < block.end)
+    block.start[some], block.end[some] = after[block.start[some]], before[block.end[some] - 1] + 1
+
+
 def trimmed_words(block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word without outer ASCII punctuation, index of each text's first word); bare punctuation is no word."""
-    n = len(block.data)
-    solid = ~_TRIM[block.data]
-    here = np.arange(n, dtype=np.int64)
-    after = np.minimum.accumulate(np.where(solid, here, n)[::-1])[::-1]  # the next byte that is not trimmed
-    before = np.maximum.accumulate(np.where(solid, here, -1))  # the last one
-    if len(block.start):
-        block.start, block.end = after[block.start], before[block.end - 1] + 1
+    for side in ("head", "tail"):
+        todo = np.arange(len(block.start))
+        for _ in range(16):  # nearly all words end here; what is left is long runs of punctuation
+            todo = todo[block.start[todo] < block.end[todo]]
+            todo = todo[_TRIM[block.data[block.start[todo] if side == "head" else block.end[todo] - 1]]]
+            if side == "head":
+                block.start[todo] += 1
+            else:
+                block.end[todo] -= 1
+            if not len(todo):
+                break
+        if len(todo):
+            _trim_runs(block)
     keep = block.start < block.end
     block.word_at = np.concatenate(([0], np.cumsum(keep)))[block.word_at]
     block.start, block.end = block.start[keep], block.end[keep]
@@ -122,37 +137,56 @@ class Benchmark:
                     by_size.setdefault((len(grams), min(SHINGLE, int(at[d + 1] - at[d]))), []).append(len(self.ids))
                     self.ids.append(ids[block.first + d])
                     self.grams.append(grams)
+        self.groups = [(size, span, np.array(items), MultiIndex(np.array([simhash(self.grams[i]) for i in items], np.uint64))) for (size, span), items in sorted(by_size.items())]
         self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
         self.flags = np.zeros(1 << 20, bool)
         self.flags[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.groups = {key: (np.array(items), MultiIndex(np.array([simhash(self.grams[i]) for i in items], np.uint64))) for key, items in by_size.items()}
-        self.short = sorted({words for _, words in self.groups if words < SHINGLE})
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Positions whose shingle some item has."""
+        #: for each known shingle the groups whose items have it
+        self.of: list[set[int]] = [set() for _ in self.known]
+        for group, (_, _, items, _) in enumerate(self.groups):
+            for k in np.searchsorted(self.known, np.concatenate([self.grams[i] for i in items])).tolist():
+                self.of[k].add(group)
+        self.short = sorted({span for _, span, _, _ in self.groups if span < SHINGLE})
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions whose shingle some item has, the numbers of these shingles)."""
         maybe = np.flatnonzero(self.flags[(grams >> np.uint64(44)).astype(np.int64)])
+        if not len(self.known):
+            return maybe[:0], maybe[:0]
         at = np.searchsorted(self.known, grams[maybe])
         at[at == len(self.known)] = 0
-        return maybe[self.known[at] == grams[maybe]] if len(self.known) else maybe[:0]
+        same = self.known[at] == grams[maybe]
+        return maybe[same], at[same]
 
-    def leaks(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    def leaks(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the most similar window of each leaked item of one text."""
+        positions: dict[tuple[int, int], list[int]] = {}
+        for at, k in zip(hits.tolist(), known.tolist(), strict=True):
+            for group in self.of[k]:
+                positions.setdefault((group, SHINGLE), []).append(at)
+        runs = {SHINGLE: grams}
+        for span in self.short:
+            runs[span] = rolled(words, span) ^ np.uint64(span)
+            for at, k in zip(*(x.tolist() for x in self.hits(runs[span])), strict=True):
+                for group in self.of[k]:
+                    positions.setdefault((group, span), []).append(at)
         best: dict[int, tuple[float, int, int]] = {}
-        for (size, span), (items, index) in self.groups.items():
-            g, h = grams, hits
-            if span < SHINGLE:
-                g = rolled(words, span) ^ np.uint64(span)
-                h = self.hits(g)
-            # an item at the edge of a text shorter than itself is compared with the whole text
-            width = min(size, len(g))
-            if not len(h) or not width:
+        for (group, span), found in sorted(positions.items()):
+            size, own_span, items, index = self.groups[group]
+            if span != own_span:
                 continue
-            reach = np.unique(np.clip((h[:, None] - np.arange(width)).ravel(), 0, len(g) - width))
-            for cut in range(0, len(reach), 4096):
-                starts = reach[cut : cut + 4096]
-                low = int(starts[0])
-                prints = window_simhashes(g[low : int(starts[-1]) + width], starts - low, width)
-                for start, query in zip(starts.tolist(), prints.tolist(), strict=True):
+            g = runs[span]
+            width = min(size, len(g))  # of a text shorter than the item, the whole text
+            # similarity s needs s (size + width) / (1 + s) common shingles, so as many positions must be hits
+            count = np.zeros(len(g) + 1, np.int64)
+            count[np.array(found) + 1] = 1
+            count = np.cumsum(count)
+            starts = np.flatnonzero((count[width:] - count[:-width]) * (1 + SIMILARITY) >= SIMILARITY * (size + width) - 1e-9)
+            for cut in range(0, len(starts), 4096):
+                some = starts[cut : cut + 4096]
+                low = int(some[0])
+                prints = window_simhashes(g[low : int(some[-1]) + width], some - low, width)
+                for start, query in zip(some.tolist(), prints.tolist(), strict=True):
                     for k in index.search(query):
                         item = int(items[k])
                         similarity = weighted_jaccard(g[start : start + width], self.grams[item])
@@ -167,14 +201,14 @@ def _document_leaks(bench: Benchmark, col: pa.Array) -> Iterator[tuple[int, int,
     for block in word_blocks(col):
         words, at = trimmed_words(block)
         grams = rolled(words, SHINGLE)
-        hits = bench.hits(grams)
+        hits, known = bench.hits(grams)
         near = np.searchsorted(hits, at)
         for d in range(block.n_docs):
             a, b = int(at[d]), int(at[d + 1])
-            mine = hits[near[d] : near[d + 1]] - a
-            mine = mine[mine <= b - a - SHINGLE]  # a shingle that runs into the next text is none
-            if len(mine) or bench.short and b > a:
-                for leak in bench.leaks(words[a:b], grams[a : max(a, b - SHINGLE + 1)], mine):
+            mine, which = hits[near[d] : near[d + 1]] - a, known[near[d] : near[d + 1]]
+            inside = mine <= b - a - SHINGLE  # a shingle that runs into the next text is none
+            if inside.any() or bench.short and b > a:
+                for leak in bench.leaks(words[a:b], grams[a : max(a, b - SHINGLE + 1)], mine[inside], which[inside]):
                     yield block.first + d, *leak
 
 

@@ -46,7 +46,7 @@ COUNT_WINDOW = 1 << 22
 COUNT_LEAST = 4
 #: Members of a block of a region; two blocks are compared in one go.
 BLOCK = 256
-#: Ids of documents whose sets are fetched by a broadcast; with more, by a shuffled join.
+#: Keys of documents (at most 16 bytes each) that are broadcast to pick rows; with more, rows are picked by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 
 _CELL_MASK = np.uint64((1 << CELL_BITS) - 1)
@@ -229,13 +229,16 @@ def _bounded(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return near.unionByName(far)
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A table of keys, broadcast if it is small enough; else the join that it is used in shuffles."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_IDS else keys
+
+
 def _whole_sets(docs: DataFrame, n: int, seed: int, sids: DataFrame, sets: DataFrame) -> DataFrame:
     """(sid, grams) of the given sets, computed again from the texts of one document each."""
     wanted = sids.join(sets.select("sid", "rep"), "sid").select(F.col("rep").alias("rep"), F.col("sid").alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    ids = wanted.select("rep").distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _sent(wanted.select("rep").distinct())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -442,6 +445,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     key = F.struct("doc_id", "text_key")
     gone = groups.filter(~key.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     twice = groups.filter(key.eqNullSafe(F.col("best"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().filter("count > 1").drop("count")
+    gone, twice = _sent(gone), _sent(twice)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
     rest = docs.join(gone, same, "left_anti")
     if twice.isEmpty():

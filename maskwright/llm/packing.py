@@ -31,7 +31,7 @@ from maskwright.llm.support import table
 WINDOW = 4096
 END_ID = 2
 #: Distinct words (and parts of words) whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 
 _TRAILING = b".,;:!?*#&%$|\"()"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.operators.masking import html_text, mask_twice
+from maskwright.operators.policy import fenced
 from maskwright.settings import Settings
 
 ML_LINES = 1000
@@ -47,7 +48,7 @@ def ingest(payloads: DataFrame, settings: Settings, now: Column) -> DataFrame:
     ignored = is_ignored(F.col("content_type"), F.col("text"))
     state = F.when(sensitive & written, "Protected").when(sensitive, "ReplacementFailed").otherwise("Normal")
     normal = ~sensitive
-    return rows.select(
+    row = F.struct(
         "id",
         F.when(normal, F.col("windows_id")).alias("windows_id"),
         now.alias("created_at"),
@@ -60,6 +61,7 @@ def ingest(payloads: DataFrame, settings: Settings, now: Column) -> DataFrame:
         F.when(normal & ~ignored, F.col("text")).otherwise("").alias("search_text"),
         F.when(ignored, "Ignored").when(sensitive & ~ok, "MaskingFailed").when(sensitive & ~written, "ReplacementFailed").otherwise("Success").alias("outcome"),
     )
+    return fenced(rows, row, "_row").select("_row.*")
 
 
 def stored(outcomes: DataFrame) -> DataFrame:

@@ -107,6 +107,11 @@ def summarize(findings: Column, plan: Column) -> Column:
     return F.struct(sensitive.alias("is_sensitive"), sure.alias("confidence"), worst.alias("severity"), primary.alias("primary_category"), findings.alias("findings"), plan.alias("plan"))
 
 
+def fenced(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """``df`` with a column that the optimizer computes once: neither filters nor projections above are merged with its expression."""
+    return df.drop(out).select("*", F.explode(F.array(value)).alias(out))
+
+
 def classify(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), out: str = "result", extra: Column | None = None) -> DataFrame:
     """``df`` with a classification of the text. Detection runs once; each step is its own projection, without a shuffle.
 
@@ -117,4 +122,4 @@ def classify(df: DataFrame, text_col: str = "text", settings: Settings = Setting
     found = F.concat(found, extra) if extra is not None else found
     step = df.withColumn("_findings", found)
     step = step.withColumn("_plan", merge_spans(mask_spans(F.col("_findings"), F.length(text))))
-    return step.withColumn(out, summarize(F.col("_findings"), F.col("_plan"))).drop("_findings", "_plan")
+    return fenced(step, summarize(F.col("_findings"), F.col("_plan")), out).drop("_findings", "_plan")

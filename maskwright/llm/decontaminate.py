@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.support import WordBlock, mix64, rolled, table, word_blocks
+from maskwright.llm.support import WordBlock, mix64, rolled, table, word_blocks, worker_cache
 
 #: Words of a shingle and the least weighted Jaccard similarity of a leak.
 SHINGLE = 5
@@ -231,6 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         held = docs.sparkSession.sparkContext.broadcast(bench)
 
         def batches(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontaminate")
             for batch in it:
                 got = list(_document_leaks(held.value, batch.column(1)))
                 at, items, start, length, similarity = list(zip(*got, strict=True)) if got else [[]] * 5
@@ -251,6 +252,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
         held = docs.sparkSession.sparkContext.broadcast(bench)
 
         def batches(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontaminate")
             for batch in it:
                 clean = np.ones(len(batch), bool)
                 clean[[leak[0] for leak in _document_leaks(held.value, batch.column(at))]] = False

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.components import connected_components
-from maskwright.llm.support import materialize, shingle_sets, table, word_blocks
+from maskwright.llm.support import materialize, shingle_sets, table, word_blocks, worker_cache
 
 #: Bits of the hash by which frequent shingles are told apart when ordering, and how many such cells are kept at most.
 CELL_BITS = 24
@@ -110,6 +110,7 @@ def _first_pass(docs: DataFrame, n: int, seed: int) -> DataFrame:
     schema = "kind int, doc_id long, text_key long, n long, h1 long, h2 long, bitmap binary"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         frequent = _Frequent()
 
         def cells(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -155,6 +156,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, seed: int, levels: tu
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         cells, values = held.value
         level = np.zeros(1 << CELL_BITS, np.uint8)
         level[cells] = values
@@ -185,6 +187,7 @@ def _regions(prefixes: DataFrame) -> DataFrame:
     """(pivot, sid): each set and the least set of each rare shingle it holds, where they differ."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         last, pivot = None, None  # the rows come sorted; only the current shingle's pivot is remembered
         for batch in it:
             sig, sid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -211,6 +214,7 @@ def _bounded(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     sized = materialize(sized.withColumn("fit", F.least("n", "pn") * den >= F.greatest("n", "pn") * num), "sized")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         for batch in it:
             p, s, n, pn, b, pb = (c.to_pylist() for c in batch.columns)
             low, may = [], []
@@ -241,6 +245,7 @@ def _whole_sets(docs: DataFrame, n: int, seed: int, sids: DataFrame, sets: DataF
     ids = _sent(wanted.select("rep").distinct())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         for batch in it:
             sid, raw = [], []
             for block in word_blocks(batch.column(0)):
@@ -259,6 +264,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     """(a, b, distance, linked) of each pair, by whole sets."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         for batch in it:
             distance, linked = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -311,6 +317,7 @@ def _cell_pairs(ring: DataFrame, sets: DataFrame, num: int, den: int, best: bool
     rows = rows.repartition(*CELL, "bi", "bj").sortWithinPartitions(*CELL, "bi", "bj")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard_join")
         key, group, out = None, [], []
 
         def compare() -> None:
@@ -445,12 +452,14 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     key = F.struct("doc_id", "text_key")
     gone = groups.filter(~key.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     twice = groups.filter(key.eqNullSafe(F.col("best"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().filter("count > 1").drop("count")
+    several = not twice.isEmpty()
     gone, twice = _sent(gone), _sent(twice)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
-    rest = docs.join(gone, same, "left_anti")
-    if twice.isEmpty():
-        return rest
-    return rest.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = lambda keys: docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["_key"])
+    if not several:
+        return docs.join(gone, same(gone), "left_anti")
+    both = _sent(gone.unionByName(twice))
+    rest = docs.join(both, same(both), "left_anti")
+    return rest.unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

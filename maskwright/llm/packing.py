@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.support import table
+from maskwright.llm.support import table, worker_cache
 
 WINDOW = 4096
 END_ID = 2
 #: Distinct words (and parts of words) whose ids a worker keeps in each of two generations.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 500_000
 
 _TRAILING = b".,;:!?*#&%$|\"()"
 
@@ -145,14 +145,12 @@ class WordEncoder:
         self.words.trim()
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def worker_encoder(path: str) -> WordEncoder:
     """One encoder for each worker process and vocabulary, so that the tasks of a worker share what it has learned."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    kept = worker_cache("packing")
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 class SumOfSquares:

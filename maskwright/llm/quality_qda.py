@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.docstats import FEATURES, statistics
-from maskwright.llm.support import materialize, table
+from maskwright.llm.support import materialize, table, worker_cache
 
 #: Weight of the shrinkage target in each class covariance.
 SHRINKAGE = 0.1
@@ -80,6 +80,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id and the transformed statistics of every whole text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_qda")
         for batch in it:
             x = transform(statistics(batch.column(1))[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
@@ -94,6 +95,7 @@ def train(feats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) ->
     rows = feats.filter("doc_id is not null").filter(~held_out()).join(known, "doc_id").select("quality", "x")
 
     def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_qda")
         total = np.zeros((2, 1 + d + d * d))
         for batch in it:
             x = np.asarray(batch.column(1).flatten()).reshape(-1, d)
@@ -114,6 +116,7 @@ def train(feats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) ->
 
 def score(feats: DataFrame, model: Discriminant, cut: float = CUT) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_qda")
         for batch in it:
             s = model.score(np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.docstats import BASE, FEATURES, statistics
-from maskwright.llm.support import table
+from maskwright.llm.support import table, worker_cache
 
 #: Labelled documents that the trees are grown from at most, the smallest by a hash of the id.
 MAX_TRAIN_ROWS = 20_000
@@ -126,6 +126,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.nda
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_rules")
         for batch in it:
             _, feats = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(feats), pa.list_(pa.float64()))], ["quality", "f"])
@@ -155,6 +156,7 @@ def quality_rules(docs: DataFrame, trees: FlatTrees | None, id_col: str = "doc_i
     """One row per document: id, the base counts, ``base_failed``, ``kept`` and the trees' ``probability``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_rules")
         for batch in it:
             base, feats = statistics(batch.column(1))
             failed, p, kept = judge(base, feats, trees)
@@ -170,6 +172,7 @@ def keep_good(docs: DataFrame, trees: FlatTrees | None, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality_rules")
         for batch in it:
             yield batch.filter(pa.array(judge(*statistics(batch.column(at)), trees)[2]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_owner: str | None = None
+_cache: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks; freed as soon as another operator's task asks for its own."""
+    global _owner, _cache
+    if _owner != owner:
+        _owner, _cache = owner, {}
+        gc.collect()
+    return _cache
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 values."""
     h = h ^ (h >> np.uint64(30))

@@ -91,3 +91,8 @@ def paste_decision(state: Column, expires_at: Column, windows_id: Column, restor
         F.when((state == "Expired") | (expires_at <= now), "Expired").when(state == "ReplacementFailed", "ProtectionFailure").when(state == "Protected", "SafeText")
         .when(windows_id.isNull(), "Unavailable").when(F.coalesce(restored, F.lit(False)), "Restored").otherwise("RestoreFailed")
     )
+
+
+def listing(kind: Column, text: Column) -> Column:
+    """What a history list shows of an entry: its text, or a placeholder for what has none."""
+    return F.when(kind == "Image", "[image]").when(F.coalesce(text, F.lit("")) != "", text).when(kind == "Html", "[html]").when(kind == "Rtf", "[rich text]").otherwise("[unknown]")

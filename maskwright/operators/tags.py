@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import find_matches
+from maskwright.functions.spans import find_matches, let, running_sums
 
 LABELS = ("O", "B-SECRET", "I-SECRET", "B-PII", "I-PII", "B-HOSTINFO", "I-HOSTINFO", "B-NETWORK", "I-NETWORK")
 TYPES = ("SECRET", "PII", "HOSTINFO", "NETWORK")
@@ -123,3 +123,56 @@ def decode_logits(logits: Column, offsets: Column, threshold: float = 0.75) -> C
     category = F.create_map(*(F.lit(x) for kv in CATEGORY.items() for x in kv))
     kept = F.filter(F.aggregate(picked, first, step, closed), lambda e: e["p"] / e["n"] >= threshold)
     return F.transform(kept, lambda e: F.struct(F.coalesce(category[e["type"]], F.lit("SecretLike")).alias("category"), e["start"].alias("start"), (e["end"] - e["start"]).alias("length"), (e["p"] / e["n"]).alias("confidence")))
+
+
+TAGGED = r"(?s)<(SECRET|PII|HOSTINFO|NETWORK)>(.*?)</\1>"
+
+
+def parse_tagged(text: Column) -> Column:
+    """struct<text, spans> of ``<LABEL>value</LABEL>`` markup: the text without marks and array<SPAN> of the values."""
+    found = find_matches(text, TAGGED)
+
+    def places(m: Column) -> Column:
+        labels = F.transform(m, lambda x: F.regexp_extract(x["m"], TAGGED, 1))
+        marks = F.transform(labels, lambda lab: 2 * F.length(lab) + 5)
+        before = running_sums(marks)
+        return F.transform(
+            F.arrays_zip(m.alias("m"), labels.alias("label"), before.alias("before")),
+            lambda x: F.struct((x["m"]["start"] - x["before"]).alias("start"), (x["m"]["start"] - x["before"] + F.length(x["m"]["m"]) - 2 * F.length(x["label"]) - 5).alias("end"), x["label"].alias("label")),
+        )
+
+    return F.struct(F.regexp_replace(text, TAGGED, "$2").alias("text"), let(found, places).alias("spans"))
+
+
+def encode_overlap(toks: Column, spans: Column) -> Column:
+    """Tags of tokens that overlap a span, even in part: B- where both start together, else I-."""
+
+    def tag(t: Column) -> Column:
+        first = F.get(F.filter(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), F.lit(0))
+        return F.when(first.isNull(), "O").when(first["start"] == t["start"], F.concat(F.lit("B-"), first["label"])).otherwise(F.concat(F.lit("I-"), first["label"]))
+
+    return F.transform(toks, tag)
+
+
+def keeps_spans(spans: Column, tags: Column) -> Column:
+    """Whether tags open as many entities as there are spans; adjacent spans of one label fuse and fail this."""
+    return F.size(spans) == F.size(F.filter(tags, lambda t: t.startswith("B-")))
+
+
+def align_subwords(tags: Column, words: Column) -> Column:
+    """Label ids for sub-words (``words``: index of each one's word, null for special tokens): -100 for specials, a word's first
+    sub-word keeps its label, B- becomes I- on the others."""
+    number = lambda t: F.array_position(F.array(*map(F.lit, LABELS)), t).cast("int") - 1
+
+    def one(w: Column, i: Column) -> Column:
+        again = (i > 0) & F.get(words, F.greatest(i - 1, F.lit(0))).eqNullSafe(w)
+        tag = F.get(tags, w)
+        return F.when(w.isNull(), -100).when(again & tag.startswith("B-"), number(F.concat(F.lit("I-"), F.substring(tag, F.lit(3), F.length(tag))))).otherwise(number(tag))
+
+    return F.transform(words, one)
+
+
+def word_labels(labels: Column, words: Column) -> Column:
+    """One label for each word: that of its first sub-word."""
+    firsts = F.filter(F.transform(labels, lambda lab, i: F.struct(i.alias("i"), lab.alias("lab"))), lambda x: F.get(words, x["i"]).isNotNull() & ((x["i"] == 0) | ~F.get(words, F.greatest(x["i"] - 1, F.lit(0))).eqNullSafe(F.get(words, x["i"]))))
+    return F.transform(firsts, lambda x: x["lab"])

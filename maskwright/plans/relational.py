@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.search import matches, parse_query
 from maskwright.operators import dataset as S
 from maskwright.operators import evaluation as E
+from maskwright.operators import generation as G
 from maskwright.operators import ingest as I
 from maskwright.operators import ml
 from maskwright.operators import tags as T
@@ -248,6 +249,32 @@ def l_bio_decode(spark: SparkSession, d: str) -> DataFrame:
     return out.select("rec", F.col("e.category").alias("category"), F.col("e.start").cast("long").alias("start"), F.col("e.length").cast("long").alias("length"))
 
 
+def s_tagged(spark: SparkSession, d: str) -> DataFrame:
+    rows = _load(spark, d, "SELECT c_custkey AS id, concat('hi <PII>', c_name, '</PII>, see <HOSTINFO>h', c_nationkey, '.x</HOSTINFO> <b>') AS text FROM {customer}")
+    parsed = rows.select("id", T.parse_tagged(F.col("text")).alias("p")).select("id", F.col("p.text").alias("text"), F.explode("p.spans").alias("s"))
+    return parsed.select("id", "text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.col("s.label").alias("label"))
+
+
+def s_generate(spark: SparkSession, d: str) -> DataFrame:
+    rows = G.generate(_load(spark, d, "SELECT concat('t', p_partkey) AS template_id, p_type AS family, concat(p_type, ' {{IPV4}} and {{VERSION}} by {{NAME}}') AS template FROM {part}"), 2)
+    return rows.select("template_id", "n", "split", "text", F.size("spans").alias("spans"))
+
+
+def s_minimal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return G.minimal_pairs(spark, 100).select("pair", "n", "kind", "text", F.size("spans").alias("spans"))
+
+
+def i_listing(spark: SparkSession, d: str) -> DataFrame:
+    rows = _load(spark, d, "SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS a, o_orderkey % 3 = 0 AS b, o_orderkey % 5 = 0 AS c, CASE WHEN o_orderkey % 7 < 4 THEN o_orderpriority END AS text FROM {orders}")
+    kind = I.content_type(F.col("a"), F.col("b"), F.col("c"), F.col("text").isNotNull())
+    return rows.select("id", kind.alias("kind"), I.listing(kind, F.col("text")).alias("shown"))
+
+
+def r_list_edit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _load(spark, d, "SELECT p_partkey AS id, array(concat(' ', p_brand), p_brand, '', p_type) AS v, p_name AS n, p_type AS t FROM {part}")
+    return rows.select("id", F.array_join(R.edit_list(F.col("v"), F.col("n"), F.col("t")), "|").alias("values"))
+
+
 def l_wordpiece(spark: SparkSession, d: str) -> DataFrame:
     vocab = ml.load_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".", ",", "the", "##ing", "##tion"])
     rows = ml.tokenize(spark.read.parquet(f"{d}/conversations.parquet"), vocab).select("conv_id", "turn", F.size("pieces.ids").alias("n"), F.size(F.filter("pieces.ids", lambda x: x == 1)).alias("unknown"))
@@ -354,6 +381,19 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "e_boundary_audit": (e_boundary_audit, f'WITH {_JUDGED} SELECT j.rec, j.type, j.start AS fp_start, j."end" AS fp_end, m.start AS fn_start, m."end" AS fn_end FROM j JOIN m ON m.rec = j.rec AND m.type = j.type WHERE kind <> \'Exact\''),
     "e_examples": (e_examples, f'WITH {_JUDGED} SELECT kind, type, rec, start, n FROM (SELECT *, row_number() OVER (PARTITION BY kind, type ORDER BY rec, start, "end") AS n FROM j) WHERE n <= 10'),
+    "s_tagged": (
+        s_tagged,
+        """SELECT id, text, start, "end", label FROM (SELECT c_custkey AS id, concat('hi ', c_name, ', see h', c_nationkey, '.x <b>') AS text, unnest([
+          {'start': 3, 'end': 3 + length(c_name), 'label': 'PII'}, {'start': 9 + length(c_name), 'end': 12 + length(c_name) + length(CAST(c_nationkey AS VARCHAR)), 'label': 'HOSTINFO'}], recursive := true) FROM customer)""",
+    ),
+    "s_generate": (s_generate, None),
+    "s_minimal_pairs": (s_minimal_pairs, None),
+    "i_listing": (
+        i_listing,
+        """SELECT id, kind, CASE WHEN kind = 'Image' THEN '[image]' WHEN text <> '' THEN text WHEN kind = 'Html' THEN '[html]' WHEN kind = 'Rtf' THEN '[rich text]' ELSE '[unknown]' END AS shown FROM (
+          SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 < 4 THEN o_orderpriority END AS text, CASE WHEN o_orderkey % 2 = 0 THEN 'Image' WHEN o_orderkey % 3 = 0 THEN 'Html' WHEN o_orderkey % 5 = 0 THEN 'Rtf' WHEN o_orderkey % 7 < 4 THEN 'Text' ELSE 'Unknown' END AS kind FROM orders)""",
+    ),
+    "r_list_edit": (r_list_edit, "SELECT p_partkey AS id, trim(p_brand) || '|' || trim(p_name) AS values FROM part"),
     "l_bio_decode": (l_bio_decode, None),
     "l_wordpiece": (l_wordpiece, None),
 }

@@ -79,6 +79,14 @@ def migrate_v1(old: DataFrame) -> DataFrame:
     )
 
 
+def edit_list(values: Column, add: Column | None = None, remove: Column | None = None) -> Column:
+    """A settings list with trimmed, distinct, non-blank values: one added at the end, one removed."""
+    clean = F.filter(F.array_distinct(F.transform(values, lambda v: F.trim(v))), lambda v: v != "")
+    if add is not None:
+        clean = F.when(F.trim(add) != "", F.array_union(clean, F.array(F.trim(add)))).otherwise(clean)
+    return F.array_remove(clean, F.trim(remove)) if remove is not None else clean
+
+
 class HistoryStore:
     """Operations appended below a folder; ``items`` and ``search`` are views of what they leave."""
 

@@ -121,3 +121,41 @@ def test_model_gate(tmp_path):
     for change, status in (({"evaluation": {"span_recall_overall": 0.5}}, "RecallTooLow"), ({"semver": "2.0.0"}, "IncompatibleVersion"), ({"content_sha256": "x"}, "HashMismatch")):
         (home / "model.manifest.json").write_text(json.dumps(info | change))
         assert ml.model_gate(str(tmp_path)) == status
+
+
+def test_tagged_text(spark):
+    text = "a <PII>Bob B</PII>: <SECRET>x\ny</SECRET><PII></PII> <b>z</b> <PII>open"
+    row = spark.createDataFrame([(text,)], "t string").select(T.parse_tagged(F.col("t")).alias("p")).first().p
+    assert row.text == "a Bob B: x\ny <b>z</b> <PII>open"
+    assert [(row.text[s.start : s.end], s.label) for s in row.spans] == [("Bob B", "PII"), ("x\ny", "SECRET"), ("", "PII")]
+
+
+def test_subwords(spark):
+    df = one(spark, tags="array('B-PII','O','B-SECRET')", words="array(null, 0, 0, 1, 2, 2, null)")
+    row = df.select(T.align_subwords(F.col("tags"), F.col("words")).alias("a")).first()
+    assert row.a == [-100, 3, 4, 0, 1, 2, -100]
+    assert df.select(T.word_labels(T.align_subwords(F.col("tags"), F.col("words")), F.col("words")).alias("w")).first().w == [3, 0, 1]
+
+
+def test_generated_text(spark):
+    from maskwright.operators import generation as G
+
+    rows = G.generate(G.templates(spark), 20).collect()
+    assert len(rows) == 20 * len(G.TEMPLATES) and rows == G.generate(G.templates(spark), 20).collect()
+    kinds = {"NETWORK": 0, "PII": 0, "SECRET": 0, "HOSTINFO": 0}
+    for r in rows:
+        assert "{IP" not in r.text and all(0 <= s.start < s.end <= len(r.text) for s in r.spans)
+        for s in r.spans:
+            kinds[s.label] += 1
+    assert all(kinds.values())
+    pairs = G.minimal_pairs(spark, 5).collect()
+    assert len(pairs) == 60 and {len(p.spans) for p in pairs} == {0, 1}
+    assert all(bool(p.spans) == bool(G.KINDS[p.kind]) for p in pairs)
+
+
+def test_list_edit(spark):
+    from maskwright.sources.store import edit_list
+
+    df = one(spark, v="array(' a', 'a', '', 'b')")
+    got = df.select(edit_list(F.col("v"), F.lit(" c ")).alias("x"), edit_list(F.col("v"), F.lit(" ")).alias("y"), edit_list(F.col("v"), remove=F.lit("a")).alias("z")).first()
+    assert (got.x, got.y, got.z) == (["a", "b", "c"], ["a", "b"], ["b"])

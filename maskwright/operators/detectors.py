@@ -15,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
-from maskwright.functions.spans import find_matches, is_ipv4, is_ipv6, is_private_ipv4
+from maskwright.functions.spans import find_matches, is_ipv4, is_ipv6, is_private_ipv4, let
 from maskwright.settings import Settings
 
 FINDING = "struct<category:string,start:int,length:int,confidence:double,severity:int,value_start:int,value_length:int,source:string,ord:int>"
@@ -73,8 +73,15 @@ def _uris(text: Column, pattern: str, category: str, confidence: float, password
     Parts are located by their first occurrence in the match. A scheme's default port counts as named by the text.
     """
 
-    def parts(m: Column) -> Column:
-        u, at = m["m"], m["start"]
+    def cut(m: Column) -> Column:
+        part = lambda k: F.regexp_extract(m["m"], P.URI_PARTS, k)
+        default = functools.reduce(lambda e, kv: F.when(F.lower(part(1)) == kv[0], str(kv[1])).otherwise(e), P.DEFAULT_PORTS.items(), F.lit(""))
+        port = F.when(part(4) != "", F.regexp_replace(part(4), "^0+(?=.)", "")).otherwise(default)
+        named = F.struct(m["m"].alias("u"), m["start"].alias("at"), part(3).alias("host"), port.alias("port"), F.regexp_extract(part(5), "^/+([^/]+)", 1).alias("db"))
+        return let(named, parts)
+
+    def parts(x: Column) -> Column:
+        u, at, host, port, name = x["u"], x["at"], x["host"], x["port"], x["db"]
         found = [(F.lit(True), finding(category, at, F.length(u), confidence, LOW, order))]
         if s.mask_passwords:
             head = F.instr(u, "://") + 2  # offset of what follows
@@ -84,23 +91,16 @@ def _uris(text: Column, pattern: str, category: str, confidence: float, password
             has = stop > head
             found.append((has, finding("Username", at + head, F.when(colon > 0, colon - 1).otherwise(F.length(info)), 0.90, MEDIUM, order)))
             found.append((has & (colon > 0), finding(password, at + head + colon, F.length(info) - colon, 0.99, CRITICAL, order)))
-        host = F.regexp_extract(u, P.URI_PARTS, 3)
-        where = F.instr(F.lower(u), F.lower(host)) - 1
-        found += [((host != "") & c, f) for c, f in _ip_or_host(host, at + where, F.length(host), 0.95, 0.95, order, s)]
+        found += [((host != "") & c, f) for c, f in _ip_or_host(host, at + F.instr(F.lower(u), F.lower(host)) - 1, F.length(host), 0.95, 0.95, order, s)]
         if s.mask_ports:
-            scheme = F.lower(F.regexp_extract(u, P.URI_PARTS, 1))
-            default = functools.reduce(lambda e, kv: F.when(scheme == kv[0], str(kv[1])).otherwise(e), P.DEFAULT_PORTS.items(), F.lit(""))
-            named = F.regexp_extract(u, P.URI_PARTS, 4)
-            port = F.when(named != "", F.regexp_replace(named, "^0+(?=.)", "")).otherwise(default)
             where = F.instr(u, F.concat(F.lit(":"), port))
             found.append(((port != "") & (port != "0") & (where > 0), finding("Port", at + where, F.length(port), 0.99, MEDIUM, order)))
         if s.mask_databases:
-            name = F.regexp_extract(F.regexp_extract(u, P.URI_PARTS, 5), "^/+([^/]+)", 1)
             where = F.instr(u, F.concat(F.lit("/"), name))
             found.append(((name != "") & (where > 0), finding("DatabaseName", at + where, F.length(name), 0.95, MEDIUM, order)))
         return _optional(*found)
 
-    return F.flatten(F.transform(find_matches(text, pattern, gate="://"), parts))
+    return F.flatten(F.transform(find_matches(text, pattern, gate="://"), cut))
 
 
 def database_uris(text: Column, s: Settings, order: int) -> Column:
@@ -125,7 +125,8 @@ def connection_strings(text: Column, s: Settings, order: int) -> Column:
             only = F.when(cut, F.substring(value, F.lit(1), sep)).otherwise(value)
             tail = F.length(value) - sep - 1
             found = [(cut & (tail > 0), finding("Port", at + sep + 1, tail, 0.95, MEDIUM, order))] if s.mask_ports else []
-            return _optional(*found, *_ip_or_host(only, at, F.length(only), 0.90, 0.90, order, s)) if found or s.mask_private_ip or s.mask_public_ip or s.mask_domains else none()
+            wanted = found or s.mask_private_ip or s.mask_public_ip or s.mask_domains
+            return let(only, lambda o: _optional(*found, *_ip_or_host(o, at, F.length(o), 0.90, 0.90, order, s))) if wanted else none()
 
         return F.flatten(F.transform(find_matches(m["m"], P.CONN_HOST, True), one))
 

@@ -132,16 +132,22 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text; one call should hold some thousand words so that unseen ones are encoded together."""
-        split = [t.split() for t in texts]
+        get = self.words.get
+        found = []
         unseen: set[bytes] = set()
-        for words in split:
-            unseen.update(words)
-        unseen.difference_update(self.words)
+        for t in texts:
+            words = t.split()
+            ids = list(map(get, words))
+            holes = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+            unseen.update([words[k] for k in holes])
+            found.append((ids, holes, [words[k] for k in holes]))
         if unseen:
             self._learn(unseen)
-        get = self.words.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        known = self.words
+        for ids, holes, words in found:
+            for k, w in zip(holes, words, strict=True):
+                ids[k] = known[w]
+            yield b"".join(ids)
         self.words.trim()
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.spans import let
 from maskwright.operators.detectors import CRITICAL, detect, none
 from maskwright.settings import Settings
 
@@ -56,23 +57,27 @@ def mask_spans(findings: Column, size: Column) -> Column:
 
     A user name is masked only when something sensitive was met before it: any credential, or an earlier sensitive finding.
     """
-    sure = F.filter(findings, lambda f: f["confidence"] >= LEAST_CONFIDENCE)
-    credentials = F.filter(sure, is_credential)
-    context = F.filter(sure, lambda f: ~is_credential(f))
-    first = F.array_position(F.transform(context, lambda f: f["category"].isin(*SENSITIVE_CONTEXT)), True)
-    anything = F.size(credentials) > 0
+    sensitive = lambda f: f["category"].isin(*SENSITIVE_CONTEXT)
+    sure = lambda f: f["confidence"] >= LEAST_CONFIDENCE
 
     def secret(f: Column) -> Column:
         full = (f["severity"] == CRITICAL) | (f["confidence"] >= 0.99) | ~f["category"].isin(*PARTIAL_CREDENTIALS)
         return F.struct(F.coalesce(f["value_start"], f["start"]).alias("start"), F.coalesce(f["value_length"], f["length"]).alias("length"), F.when(full, FULL).otherwise(PARTIAL).alias("mode"))
 
-    def around(f: Column, i: Column) -> Column:
-        named = (f["category"] == "Username") & (anything | ((first > 0) & (i + 1 > first)))
-        mode = F.when(f["category"].isin(*FULL_CONTEXT) | named, FULL).when(f["category"].isin(*SENSITIVE_CONTEXT), PARTIAL).otherwise(PRESERVE)
-        return F.struct(f["start"].alias("start"), f["length"].alias("length"), mode.alias("mode"))
+    def both(x: Column) -> Column:
+        named_from = F.when(F.size(x["credentials"]) > 0, 0).otherwise(F.array_position(F.transform(x["context"], sensitive), True).cast("int"))
+        return let(F.struct(x["credentials"].alias("credentials"), x["context"].alias("context"), named_from.alias("first"), (F.size(x["credentials"]) > 0).alias("any")), spans)
 
-    spans = F.concat(F.transform(credentials, secret), F.transform(context, around))
-    return F.filter(spans, lambda s: (s["mode"] != PRESERVE) & (s["start"] >= 0) & (s["length"] > 0) & (s["start"] + s["length"] <= size)).cast(f"array<{SPAN}>")
+    def spans(x: Column) -> Column:
+        def around(f: Column, i: Column) -> Column:
+            named = (f["category"] == "Username") & (x["any"] | ((x["first"] > 0) & (i + 1 > x["first"])))
+            mode = F.when(f["category"].isin(*FULL_CONTEXT) | named, FULL).when(sensitive(f), PARTIAL).otherwise(PRESERVE)
+            return F.struct(f["start"].alias("start"), f["length"].alias("length"), mode.alias("mode"))
+
+        return F.concat(F.transform(x["credentials"], secret), F.transform(x["context"], around))
+
+    split = F.struct(F.filter(findings, lambda f: sure(f) & is_credential(f)).alias("credentials"), F.filter(findings, lambda f: sure(f) & ~is_credential(f)).alias("context"))
+    return F.filter(let(split, both), lambda s: (s["mode"] != PRESERVE) & (s["start"] >= 0) & (s["length"] > 0) & (s["start"] + s["length"] <= size)).cast(f"array<{SPAN}>")
 
 
 def merge_spans(spans: Column) -> Column:

@@ -1,11 +1,11 @@
 """Operator 7, main text of web pages by composite text density.
 
 A page is parsed leniently into a tree. Elements that hold no article text by their kind or by a word of their class, id
-or role are taken out. For every remaining node the link-adjusted characters per tag (composite text density) are
+or role are taken out, unless they hold the page itself (see ``_outside``). For every remaining node the link-adjusted characters per tag (composite text density) are
 computed from the characters and tags below it and those within links; each node's children's densities are summed, and
-the node of the largest sum is the core of the article. The least density on the path from the body to it is the
-threshold: from the core the region grows to enclosing articles and to ancestors whose other children reach it. The
-blocks of the region are returned in page order.
+the node of the largest sum is the core of the article. The region is the outermost article or main around the core,
+whole, whatever the densities in it; without one, the least density on the path from the body to the core is the
+threshold, and the region grows to ancestors whose other children reach it. The blocks of the region are returned in page order.
 
 Edge cases: null or empty html, or a page without text outside boilerplate, gives the empty text; tags that are not
 closed end with their parent; very long pages are read whole; repeated rows are extracted each; a null id passes
@@ -35,7 +35,10 @@ _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 #: Elements whose content is never article text.
-_OUT = frozenset("nav footer aside form button select option label fieldset dialog menu svg canvas object audio video head map".split()) | _RAW
+_NEVER = frozenset("button select option label svg canvas object audio video head map".split()) | _RAW
+#: Elements that are not the article unless they hold it as an article or main, and those that can also be a page's wrapper.
+_PART = frozenset("nav footer aside menu".split())
+_WRAP = frozenset("form fieldset dialog".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -51,11 +54,17 @@ _MARKS = frozenset(
 )
 
 
+#: Marks of what may be longer than the article beside it.
+_TALK = frozenset(
+    "ad ads advert adverts advertisement advertising adsense cookie cookies consent gdpr comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login share sharing social".split()
+)
+
+
 class Page:
     """Nodes of a page as parallel lists, parents before children, and its text runs in order as (node, text, block number)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["#page"], [-1], [False]
+        self.tag, self.parent, self.why = ["#page"], [-1], [""]
         self.runs: list[tuple[int, str, int]] = []
         open_nodes, block, at = [0], 0, 0
         size = len(source)
@@ -90,9 +99,10 @@ class Page:
             parent = open_nodes[-1]
             self.tag.append(name)
             self.parent.append(parent)
-            self.out.append(self.out[parent] or self._is_out(name, attributes, open_nodes))
+            self.why.append(self._why(name, attributes, open_nodes))
             if name not in _VOID and not attributes.endswith("/"):
                 open_nodes.append(len(self.tag) - 1)
+        self.out = self._outside()
 
     def _close(self, open_nodes: list[int], kinds: set[str]) -> None:
         """End the innermost open element of the kinds that is not beyond an enclosing list, table or section."""
@@ -104,16 +114,85 @@ class Page:
             if tag in _SCOPE:
                 return
 
-    def _is_out(self, name: str, attributes: str, open_nodes: list[int]) -> bool:
-        if name in _OUT:
-            return True
-        if name == "header":  # a page's header; an article's own header holds its title
-            return not any(self.tag[n] in ("article", "main") for n in open_nodes)
+    def _why(self, name: str, attributes: str, open_nodes: list[int]) -> str:
+        """Why an element looks like boilerplate: never, part, wrap or talk; empty if it does not."""
+        if name in _NEVER:
+            return "never"
+        if name in _PART:
+            return "part"
+        kind = "wrap" if name in _WRAP else ""
+        if name == "header" and not any(self.tag[n] in ("article", "main") for n in open_nodes):
+            kind = "wrap"  # a page's header; an article's own header holds its title
+        elif name == "header":
+            return ""
         if attributes and name not in ("html", "body", "article", "main"):
             for value in _NAMES.finditer(attributes):
-                if not _MARKS.isdisjoint(_WORD.findall((value[1] or value[2] or value[3] or "").lower())):
-                    return True
-        return False
+                words = _WORD.findall((value[1] or value[2] or value[3] or "").lower())
+                if not _TALK.isdisjoint(words):
+                    return "talk"
+                if not _MARKS.isdisjoint(words):
+                    kind = "wrap"
+        return kind
+
+    def _outside(self) -> list[bool]:
+        """Which nodes are boilerplate: what looks like it, with all below, unless it holds the page itself.
+
+        That is: it holds main, or the page's longest article; or, with no article anywhere, more than half of the text
+        outside links. Comments, notices and the like must hold a first heading for that. If nothing would be left,
+        the longest of what was taken out is put back.
+        """
+        n, why, parent = len(self.tag), self.why, self.parent
+        never, under, linked = [False] * n, [False] * n, [False] * n
+        for k in range(1, n):
+            p = parent[k]
+            never[k] = never[p] or why[k] == "never"
+            under[k] = under[p] or why[k] != ""
+            linked[k] = linked[p] or self.tag[k] == "a"
+        every = [0] * n  # characters below a node; without those of links; of these what does not look like boilerplate
+        prose, clean = [0] * n, [0] * n
+        for node, text, _ in self.runs:
+            if not never[node]:
+                length = sum(map(len, text.split()))
+                every[node] += length
+                prose[node] += 0 if linked[node] else length
+                clean[node] += 0 if linked[node] or under[node] else length
+        main, title = [False] * n, [False] * n
+        for k in range(n - 1, 0, -1):
+            p = parent[k]
+            every[p] += every[k]
+            prose[p] += prose[k]
+            clean[p] += clean[k]
+            main[p] = main[p] or main[k] or self.tag[k] == "main" and prose[k] > 0
+            title[p] = title[p] or title[k] or self.tag[k] == "h1"
+        talk, best = [False] * n, [0] * n
+        for k in range(1, n):
+            talk[k] = talk[parent[k]] or why[k] == "talk" and not title[k]
+        for k in range(n - 1, 0, -1):
+            if self.tag[k] in ("article", "main") and not talk[k]:
+                best[k] = max(best[k], prose[k])
+            best[parent[k]] = max(best[parent[k]], best[k])
+
+        def holds_page(k: int) -> bool:
+            if why[k] == "never":
+                return False
+            if main[k]:
+                return True
+            if best[k] and best[k] == best[0] and (title[k] or 2 * best[k] > clean[0]):
+                return True
+            wraps = why[k] == "wrap" or why[k] == "talk" and title[k]
+            return wraps and 2 * prose[k] > prose[0] and (not best[0] or title[k])
+
+        kept = {k for k in range(1, n) if why[k] and holds_page(k)}
+        while True:
+            out = [False] * n
+            for k in range(1, n):
+                out[k] = out[parent[k]] or why[k] != "" and k not in kept
+            if not every[0] or any(not out[node] and not text.isspace() for node, text, _ in self.runs):
+                return out
+            back = [k for k in range(1, n) if out[k] and not out[parent[k]] and why[k] in ("wrap", "talk") and every[k]]
+            if not back:
+                return out
+            kept.add(max(back, key=lambda k: (prose[k], every[k])))
 
     def densities(self) -> tuple[list[float], list[float]]:
         """(composite text density, sum of the children's densities) of every node; 0 for what is out."""

@@ -27,6 +27,30 @@ def test_main_text(source, text):
     assert html_text.main_text(source) == text
 
 
+BODY = "<p>Real text of the article, long enough to matter here.</p><p>And a second paragraph of it.</p>"
+BODY_TEXT = "Real text of the article, long enough to matter here. And a second paragraph of it."
+TALK = "<p>A reader's comment, all in all longer than the article above.</p>" * 8
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f'<body><nav>n</nav><div class="content-sidebar-wrap"><main>{BODY}</main><aside>s</aside></div></body>', BODY_TEXT),
+        (f'<body><div class="layout has-sidebar"><article>{BODY}</article><div class="sidebar">s</div></div><footer>f</footer></body>', BODY_TEXT),
+        (f'<body><div class="sidebar-wrap"><div class="nav-open"><article>{BODY}</article><div class="related"><article>t</article></div></div></div></body>', BODY_TEXT),
+        (f"<body><form><nav>n</nav><div>{BODY}</div><input></form></body>", BODY_TEXT),
+        (f'<body><h2>Site</h2><div class="page-header-fixed"><div>{BODY}</div><div class="share">s</div></div></body>', BODY_TEXT),
+        (f'<body><h3>Site</h3><div class="comments-open"><h1>T</h1>{BODY}<div class="comments"><p>c</p></div></div></body>', "T " + BODY_TEXT),
+        (f'<body><div class="comment">{BODY}</div></body>', BODY_TEXT),
+        (f'<body><div><article>{BODY}</article></div><div class="comments"><article>{TALK}</article></div></body>', BODY_TEXT),
+        (f'<body><div>{BODY}</div><div class="cookie-notice">{TALK}</div></body>', BODY_TEXT),
+        ("<body><nav>x</nav><footer>y</footer><select><option>z</select></body>", ""),
+    ],
+)
+def test_boilerplate_that_holds_the_page_stays(source, text):
+    assert html_text.main_text(source) == text
+
+
 def test_extract_keeps_every_row(spark):
     long = "<article>" + "<p>some words here</p>" * 5000 + "</article>"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", long)]

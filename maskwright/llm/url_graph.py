@@ -2,7 +2,8 @@
 
 Rules name a host (with its subdomains) and the start of a path; the longest that fits decides. Pages that no rule fits
 are decided by their host: personalised PageRank spreads trust from the hosts whose pages the rules mostly allow along
-links, and distrust from those they mostly block against the direction of links, to hosts that link to them. A host is
+links, and distrust from those they mostly block against the direction of links, to hosts that link to them, until the
+ranks no longer change. A host is
 blocked when its distrust exceeds its trust and a least share of what one seed starts with; all others are allowed.
 
 Links are absolute and protocol-relative ``href`` targets, counted per (host, host) before anything is shuffled; the
@@ -25,9 +26,12 @@ from maskwright.llm.support import materialize, table
 #: (host, path prefix, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING = 0.85
+#: Steps of a spread that is not asked to converge.
 ITERATIONS = 12
 #: Least distrust of a blocked host, as a share of a blocked seed's start.
 LEAST_SHARE = 0.05
+#: A spread ends when all ranks together can rise by no more than this: a thousandth of the least distrust of a blocked host.
+TOLERANCE = LEAST_SHARE * (1 - DAMPING) / 1000
 #: Blocked hosts that are broadcast; with more, they are joined by a shuffle.
 MAX_BROADCAST_HOSTS = 200_000
 
@@ -60,20 +64,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, name: str, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """Personalised PageRank: (host, rank) over ``edges(src, dst, n)`` from ``seeds(host, weight)``; what reaches a host without links is lost."""
+def spread(edges: DataFrame, seeds: DataFrame, name: str, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
+    """Personalised PageRank: (host, rank) over ``edges(src, dst, n)`` from ``seeds(host, weight)``; what reaches a host without links is lost.
+
+    With a tolerance, ``iterations`` are followed by more until no rank is further from its limit than that. Ranks only
+    rise, and each step adds at most ``damping`` times what the step before added, so the sum of all ranks tells how much
+    can still come to any host; many small shares that meet again in one host are in it too.
+    """
     ranks = seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
     if edges.isEmpty():
         return ranks
     total = edges.groupBy("src").agg(F.sum("n").alias("all"))
     steps = materialize(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("p")), f"{name}-steps")
-    start = ranks
-    for k in range(iterations):
+    start, k, before = ranks, 0, None
+    while True:
         moved = steps.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("p") * F.col("rank")).alias("rank"))
         ranks = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
+        k += 1
+        if k % 4 == 0:
             ranks = materialize(ranks, f"{name}-{k}")
-    return ranks
+        if tolerance is None:
+            if k >= iterations:
+                return ranks
+        elif k % 4 == 0:
+            mass = ranks.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+            if k >= iterations and before is not None and (mass - before) * damping / (1 - damping) <= tolerance:
+                return ranks
+            before = mass
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -84,9 +101,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     share = parts.filter("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("allowed"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("blocked"))
     share = materialize(share, "hosts")
     edges = materialize(host_edges(parts), "edges")
-    trust = spread(edges, share.filter("allowed > 0.5").select("host", F.lit(1.0).alias("weight")), "trust")
+    trust = spread(edges, share.filter("allowed > 0.5").select("host", F.lit(1.0).alias("weight")), "trust", tolerance=TOLERANCE)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(back, share.filter("blocked > 0.5").select("host", F.lit(1.0).alias("weight")), "distrust")
+    distrust = spread(back, share.filter("blocked > 0.5").select("host", F.lit(1.0).alias("weight")), "distrust", tolerance=TOLERANCE)
     scored = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full").fillna(0.0, ["trust", "distrust"])
     bad = materialize(scored.filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= LEAST_SHARE * (1 - DAMPING))).select("host", F.lit(True).alias("bad")), "bad")
     if bad.count() <= MAX_BROADCAST_HOSTS:

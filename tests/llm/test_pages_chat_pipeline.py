@@ -128,6 +128,22 @@ def test_distrust_spreads_backwards(spark):
     assert {r.page_id: r.verdict for r in url_graph.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_distrust_reaches_the_end_of_long_chains(spark):
+    link = lambda h: f'<a href="http://{h}/x">l</a>'
+    rows = [(0, "http://bad.net/es/1", None)] + [(k, f"http://h{k}.org/", link(f"h{k - 1}.org" if k > 1 else "bad.net")) for k in range(1, 25)]
+    got = {r.page_id: r.verdict for r in url_graph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # 0.15 * 0.85^k reaches 0.05 * 0.15 up to k = 18
+    assert got == {k: "block" if k <= 18 else "allow" for k in range(25)}
+
+
+def test_converged_ranks_see_shares_that_meet_again(spark):
+    middle = [f"m{k}" for k in range(2000)]
+    pairs = [("c0", "c1")] + [(f"c{k}", f"c{k + 1}") for k in range(1, 14)] + [("c14", m) for m in middle] + [(m, "end") for m in middle]
+    df = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src string, dst string, n long")
+    got = {r.host: r.rank for r in url_graph.spread(df, spark.createDataFrame([("c0", 1.0)], "host string, weight double"), "t", tolerance=url_graph.TOLERANCE).collect()}
+    assert abs(got["end"] - 0.15 * 0.85**16) < url_graph.TOLERANCE and abs(got["m7"] - 0.15 * 0.85**15 / 2000) < url_graph.TOLERANCE
+
+
 def test_page_rank_equals_a_loop(spark):
     rng = random.Random(2)
     edges = list({(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}"): rng.randrange(1, 4) for _ in range(40)}.items())

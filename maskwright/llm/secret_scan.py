@@ -7,7 +7,8 @@ Spans come from the pieces between matches, so documents pass once through built
 shuffle.
 
 Edge cases: null text reads as empty and has no spans; repeated rows are scanned each; a null id passes through; other
-columns are not read. Offsets are code points, ends are exclusive. A Markov span that overlaps a base span is not added.
+columns are not read. Offsets are code points, ends are exclusive. A Markov span within a base span is not
+added; one that runs beyond it is, so spans can overlap. The SQL below still leaves out every overlapping Markov span.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, weights: list[int] | None = None, bound: int = BOUND,
         return F.transform(F.col(f"s_{kind}"), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     base = F.concat(*(tagged(k) for k in KINDS[:3]))
-    added = F.filter(tagged("markov"), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    added = F.filter(tagged("markov"), lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return raw.select("doc_id", "text", *(F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.array_sort(F.concat(base, added)).alias("found"))
 
 

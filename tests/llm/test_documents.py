@@ -225,6 +225,22 @@ def test_secrets(spark):
     assert blob not in masked[5] and blob not in masked[6] and masked[7] == texts[7]
 
 
+def test_secrets_beyond_a_base_span(spark):
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    access, digits = "AKIA" + "Z9Q4" * 4, "0a1b9f7c" * 5
+    texts = [f"key {access}/{blob} end", f"{digits}-{blob}", f"token={blob}", f"{blob} token={blob}"]
+    docs = docs_of(spark, list(enumerate(texts)))
+    found = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    for k, t in enumerate(texts):
+        covered = "".join("*" if any(s.start <= i < s.end for s in found[k].found) else c for i, c in enumerate(t))
+        assert covered == masked[k] and blob not in covered, "query and stage agree"
+    kinds = {k: [(s.kind, texts[k][s.start : s.end]) for s in r.found] for k, r in found.items()}
+    assert kinds[0] == [("access", access), ("markov", f"{access}/{blob}")] and kinds[1] == [("hex", digits), ("markov", f"{digits}-{blob}")]
+    assert kinds[2] == [("assign", f"token={blob}")] and kinds[3] == [("markov", blob), ("assign", f"token={blob}")]
+
+
 def test_markov_models_on_other_samples():
     weights = secret_scan.train(secret_scan.labelled_samples())
     index = {c: i for i, c in enumerate(secret_scan.ALPHABET)}

@@ -1,8 +1,9 @@
 """Operator 4, sharding by extendible hashing.
 
-Every row has a 64-bit hash; a shard is a prefix of its bits. All shards start at the depth where an average one fits,
-and only shards over the byte limit split on one more bit, round after round, until each fits. Only (hash, bytes) pairs
-are shuffled, never texts, and the driver sees counts alone.
+Every row has a 64-bit hash; a shard is a prefix of its bits. From one shard of depth 0 on, only shards over the byte limit
+split on one more bit, until each fits. The depths up to the one where an average shard fits are decided at once, from
+the sizes of that depth's prefixes; rows are moved for it and for each depth below. Only (hash, bytes) pairs are shuffled,
+never texts, and the driver sees counts alone.
 
 Equal rows would share all bits, so the hash covers the id, the text's hash and the number of the copy among equal rows:
 any shard of two or more rows can be split. A single row larger than the limit ends in a shard of its own, flagged
@@ -37,25 +38,41 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered.select("doc_id", "bytes", F.xxhash64("doc_id", "content", "copy").alias("hash"))
 
 
+def _splits(size: str, rows: str, max_bytes: int) -> Column:
+    return (F.col(size) > max_bytes) & (F.col(rows) > 1)
+
+
+def least_depths(buckets: DataFrame, depth: int, max_bytes: int) -> DataFrame:
+    """(bucket, at, shard_bytes, shard_rows): for each prefix of ``depth`` bits, the least depth whose prefix need not split, and that shard's size; none: no row."""
+    levels = buckets.select("bucket", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("at")).withColumn("prefix", F.substring("bucket", F.lit(1), F.col("at")))
+    nodes = levels.groupBy("prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows")).filter(~_splits("shard_bytes", "shard_rows", max_bytes))
+    # halves of what fits fit as well, so the least depth is where splitting from depth 0 ends
+    return levels.select("bucket", "at", "prefix").join(nodes, "prefix").groupBy("bucket").agg(F.min(F.struct("at", "shard_bytes", "shard_rows")).alias("least")).select("bucket", "least.*")
+
+
 def assign_shards(docs: DataFrame, max_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, bytes, shard (its prefix bits), depth, shard_bytes, shard_rows, oversized."""
     open_rows = materialize(keyed_rows(docs, id_col, text_col), "keyed")
     total = open_rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     depth = max(0, (max(1, total // max_bytes) - 1).bit_length())
-    done: DataFrame | None = None
-    while True:
+    sized = open_rows.withColumn("bucket", _prefix(F.col("hash"), F.lit(depth)))
+    buckets = materialize(sized.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "buckets")
+    marked = materialize(sized.join(least_depths(buckets, depth, max_bytes), "bucket", "left"), f"depth-{depth}")
+    done = marked.filter("at is not null").select(
+        "doc_id", "bytes", F.substring("bucket", F.lit(1), F.col("at")).alias("shard"), F.col("at").alias("depth"), "shard_bytes", "shard_rows", (F.col("shard_bytes") > max_bytes).alias("oversized")
+    )
+    open_rows = marked.filter("at is null").select("doc_id", "bytes", "hash")
+    while not open_rows.isEmpty():
+        depth += 1
         sized = open_rows.withColumn("shard", _prefix(F.col("hash"), F.lit(depth)))
         shards = sized.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
-        over = (F.col("shard_bytes") > max_bytes) & (F.col("shard_rows") > 1) & F.lit(depth < MAX_DEPTH)
+        over = _splits("shard_bytes", "shard_rows", max_bytes) & F.lit(depth < MAX_DEPTH)
         marked = materialize(
             sized.join(shards, "shard").select("doc_id", "bytes", "hash", "shard", F.lit(depth).alias("depth"), "shard_bytes", "shard_rows", (F.col("shard_bytes") > max_bytes).alias("oversized"), over.alias("split")), f"depth-{depth}"
         )
-        fits = marked.filter("not split").drop("split", "hash")
-        done = fits if done is None else done.unionByName(fits)
+        done = done.unionByName(marked.filter("not split").drop("split", "hash"))
         open_rows = marked.filter("split").select("doc_id", "bytes", "hash")
-        if open_rows.isEmpty():
-            return done.select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_rows", "oversized")
-        depth += 1
+    return done
 
 
 def directory(shards: DataFrame) -> DataFrame:

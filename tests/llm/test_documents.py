@@ -199,6 +199,23 @@ def test_shards(spark):
     assert sharding.assign_shards(docs.limit(0), 1000).count() == 0
 
 
+def test_only_shards_over_the_limit_split(spark):
+    rng = random.Random(7)
+    docs = docs_of(spark, [(k, "x" * rng.randrange(0, 60)) for k in range(200)] + [(1000, "y" * 200_000)])
+    got = sharding.assign_shards(docs, 1000).collect()
+    keyed = {r.doc_id: (format(r.hash & (1 << 64) - 1, "064b"), r.bytes) for r in sharding.keyed_rows(docs, "doc_id", "text").collect()}
+
+    def split(prefix, ids):
+        if sum(keyed[i][1] for i in ids) <= 1000 or len(ids) == 1:
+            return dict.fromkeys(ids, prefix)
+        halves = [split(prefix + b, part) for b in "01" if (part := [i for i in ids if keyed[i][0][len(prefix)] == b])]
+        return {i: p for half in halves for i, p in half.items()}
+
+    assert {r.doc_id: r.shard for r in got} == split("", list(keyed)) and len(got) == len(keyed)
+    small = {r.shard for r in got if not r.oversized}
+    assert not any(len(a) == len(b) and a[:-1] == b[:-1] and a != b and sum(r.bytes for r in got if r.shard in (a, b)) <= 1000 for a in small for b in small)
+
+
 SECRETS = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

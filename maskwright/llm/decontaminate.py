@@ -242,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         part = rows.mapInArrow(batches, schema)
         found = part if found is None else found.unionByName(part)
-    return found
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

@@ -356,6 +356,13 @@ def test_leaks(spark):
     assert decontaminate.drop_leaks(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_leaks_query_on_an_empty_benchmark(spark, tmp_path):
+    docs_of(spark, [(1, "some words of a text"), (None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = decontaminate.op10_benchmark_leaks(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "item_id", "start_word", "n_words", "similarity"] and got.count() == 0
+
+
 def test_leaks_in_several_blocks(spark):
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}") for k in range(20)]
     docs = docs_of(spark, [(k, "start " + t + " end") for k, t in items])

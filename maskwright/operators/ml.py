@@ -6,9 +6,12 @@ import hashlib
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +33,49 @@ def load_vocabulary(lines: list[str]) -> dict[str, int]:
     return out
 
 
-def pieces(text: str, vocab: dict[str, int], most: int) -> tuple[list[int], list[tuple[int, int]]]:
+@lru_cache(1 << 16)
+def _kind(c: str) -> str:
+    """What a character is to WordPiece: a space, a mark or part of a word."""
+    return " " if c.isspace() else "." if unicodedata.category(c)[0] in "PS" else "w"
+
+
+def _cut(word: str, vocab: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
+    """(id, start, length) of the greedily longest pieces of a word; empty if it cannot be cut whole."""
+    cut, i = [], 0
+    while i < len(word):
+        j = next((j for j in range(min(len(word), i + longest), i, -1) if ("##" if i else "") + word[i:j] in vocab), 0)
+        if not j:
+            return []
+        cut.append((vocab[("##" if i else "") + word[i:j]], i, j - i))
+        i = j
+    return cut
+
+
+def pieces(text: str, vocab: dict[str, int], most: int, known: dict | None = None) -> tuple[list[int], list[tuple[int, int]]]:
     """WordPiece ids and (start, length) offsets: [CLS], words and single punctuation marks, greedily longest pieces in lower
-    case, a word that cannot be cut whole as [UNK], and [SEP] where there is room."""
+    case, a word that cannot be cut whole as [UNK], and [SEP] where there is room. ``known`` keeps the cut of words met before."""
     cls, sep, unk = vocab.get("[CLS]", 101), vocab.get("[SEP]", 102), vocab.get("[UNK]", 100)
     ids, offsets = [cls], [(0, 0)]
-    mark = lambda c: unicodedata.category(c)[0] in "PS"
+    longest, known = max(map(len, vocab), default=0), {} if known is None else known
     at = 0
     while at < len(text) and len(ids) < most - 1:
-        if text[at].isspace():
+        kind = _kind(text[at])
+        if kind == " ":
             at += 1
             continue
         stop = at + 1
-        while not mark(text[at]) and stop < len(text) and not text[stop].isspace() and not mark(text[stop]):
+        while kind == "w" and stop < len(text) and _kind(text[stop]) == "w":
             stop += 1
-        word, cut, i = text[at:stop].lower(), [], 0
-        while i < len(word):
-            j = next((j for j in range(len(word), i, -1) if ("##" if i else "") + word[i:j] in vocab), 0)
-            if not j:
-                cut = []
-                break
-            cut.append((vocab[("##" if i else "") + word[i:j]], at + i, j - i))
-            i = j
-        for token, start, size in cut or [(unk, at, stop - at)]:
+        word = text[at:stop].lower()
+        cut = known.get(word)
+        if cut is None:
+            cut = _cut(word, vocab, longest)
+            if len(word) <= 40 and len(known) < 50_000:
+                known[word] = cut
+        for token, start, size in cut or [(unk, 0, stop - at)]:
             if len(ids) < most - 1:
                 ids.append(token)
-                offsets.append((start, size))
+                offsets.append((at + start, size))
         at = stop
     if len(ids) < most:
         ids.append(sep)
@@ -67,10 +87,19 @@ def tokenize(df: DataFrame, vocab: dict[str, int], text_col: str = "text", out:
     """``df`` with PIECES of the text; the vocabulary, of a fixed size, is broadcast."""
     held = df.sparkSession.sparkContext.broadcast(vocab)
 
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        rows = [pieces(t or "", held.value, most) for t in texts]
-        return pd.DataFrame({"ids": [r[0] for r in rows], "offsets": [[{"start": a, "length": b} for a, b in r[1]] for r in rows]})
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array) -> pa.Array:
+        known: dict[str, list[tuple[int, int, int]]] = {}
+        flat, ends = [array("i") for _ in range(3)], array("i", [0])  # a batch of long texts stays small
+        for text in texts:
+            ids, offsets = pieces(text.as_py() or "", held.value, most, known)
+            flat[0].extend(ids)
+            flat[1].extend(a for a, _ in offsets)
+            flat[2].extend(b for _, b in offsets)
+            ends.append(len(flat[0]))
+        ids, starts, sizes = (pa.array(memoryview(x) if x else [], pa.int32()) for x in flat)
+        at = pa.array(memoryview(ends), pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([starts, sizes], ["start", "length"]))], ["ids", "offsets"])
 
     return df.withColumn(out, cut(F.col(text_col)))
 

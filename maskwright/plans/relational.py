@@ -277,7 +277,8 @@ def r_list_edit(spark: SparkSession, d: str) -> DataFrame:
 
 def l_wordpiece(spark: SparkSession, d: str) -> DataFrame:
     vocab = ml.load_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".", ",", "the", "##ing", "##tion"])
-    rows = ml.tokenize(spark.read.parquet(f"{d}/conversations.parquet"), vocab).select("conv_id", "turn", F.size("pieces.ids").alias("n"), F.size(F.filter("pieces.ids", lambda x: x == 1)).alias("unknown"))
+    # whole texts: a text has fewer pieces than this bound, which only a model's input needs lower
+    rows = ml.tokenize(spark.read.parquet(f"{d}/conversations.parquet"), vocab, most=1 << 31).select("conv_id", "turn", F.size("pieces.ids").alias("n"), F.size(F.filter("pieces.ids", lambda x: x == 1)).alias("unknown"))
     return rows
 
 

@@ -153,6 +153,18 @@ def test_generated_text(spark):
     assert all(bool(p.spans) == bool(G.KINDS[p.kind]) for p in pairs)
 
 
+def test_wordpiece_query_reads_whole_texts(spark, tmp_path):
+    from maskwright.plans.relational import l_wordpiece
+
+    rows = [(1, 0, "user", "q" * 3000), (1, 1, "user", "é " * 700), (2, 0, "user", None), (2, 1, "user", "The end.")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.n, r.unknown) for r in l_wordpiece(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (3002, 0), (1, 1): (702, 700), (2, 0): (2, 0), (2, 1): (7, 0)}
+    vocab = ml.load_vocabulary(["[UNK]", "[CLS]", "[SEP]", "play"])
+    capped = ml.tokenize(spark.createDataFrame([("play " * 50,)], "text string"), vocab, most=10).first().pieces
+    assert len(capped.ids) == len(capped.offsets) == 10 and capped.ids[-1] == 2
+
+
 def test_list_edit(spark):
     from maskwright.sources.store import edit_list
 

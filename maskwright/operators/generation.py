@@ -108,10 +108,13 @@ def generate(table: DataFrame, per_template: int, seed: int = 42) -> DataFrame:
     return made.select("template_id", "family", "n", hash_split(F.col("template_id")).alias("split"), F.col("_r.text").alias("text"), F.col("_r.spans").alias("spans"))
 
 
-def minimal_pairs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """Contrastive pairs: one sentence with an entity and with what only looks like one: pair, kind, text, spans."""
+def minimal_pairs(spark: SparkSession, n: int | DataFrame, seed: int = 42) -> DataFrame:
+    """Contrastive pairs: one sentence with an entity and with what only looks like one: pair, kind, text, spans.
+
+    ``n`` is how many numbers are used, or a table whose column n holds them."""
     pairs = (("IPV4", "VERSION", "found {X} in line"), ("IPV6", "TIME", "at {X} it stopped"), ("SECRET", "GUID", "value {X} given"), ("HOST", "FILE", "open {X} now"), ("PORT", "COUNT", "listening {X}"), ("NAME", "WORD", "assigned to {X}"))
     choice = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(kind).alias("kind"), F.lit(t.replace("X", kind)).alias("template")) for k, (a, b, t) in enumerate(pairs) for kind in (a, b))))
-    rows = spark.range(n).select(F.col("id").alias("n"), choice.alias("c")).select("n", "c.*")
+    numbers = n.select("n") if isinstance(n, DataFrame) else spark.range(n).select(F.col("id").alias("n"))
+    rows = numbers.select("n", choice.alias("c")).select("n", "c.*")
     made = rows.withColumn("_r", render(F.col("template"), F.xxhash64(F.lit(seed), "n", "pair")))
     return made.select("pair", "n", "kind", F.col("_r.text").alias("text"), F.col("_r.spans").alias("spans"))

@@ -261,7 +261,7 @@ def s_generate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s_minimal_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.minimal_pairs(spark, 100).select("pair", "n", "kind", "text", F.size("spans").alias("spans"))
+    return G.minimal_pairs(spark, _load(spark, d, "SELECT p_partkey AS n FROM {part}")).select("pair", "n", "kind", "text", F.size("spans").alias("spans"))
 
 
 def i_listing(spark: SparkSession, d: str) -> DataFrame:

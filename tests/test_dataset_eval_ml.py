@@ -165,6 +165,28 @@ def test_wordpiece_query_reads_whole_texts(spark, tmp_path):
     assert len(capped.ids) == len(capped.offsets) == 10 and capped.ids[-1] == 2
 
 
+def test_minimal_pairs_query_covers_its_table(spark):
+    from maskwright.plans.relational import s_minimal_pairs
+
+    d = "/root/testdata/sf0.001"
+    keys = {r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()}
+    got = s_minimal_pairs(spark, d).collect()
+    assert {r.n for r in got} == keys and len(got) == 12 * len(keys)
+
+
+def test_manifest_digest_and_outside_share(spark):
+    records = [(k % 3, [f"w{k % 7}", 'q"\\'], ["O", "B-PII" if k % 5 else "O"], ("train", "val")[k % 2]) for k in range(40)]
+    df = spark.createDataFrame(records, "template_id int, tokens array<string>, tags array<string>, split string")
+    digests = {r.split: r.digest for r in S.manifest(df).collect()}
+    shares = {r.split: r.outside_percent for r in S.split_report(df).collect()}
+    for split in ("train", "val"):
+        mine = [r for r in records if r[3] == split]
+        lines = {hashlib.sha256(json.dumps({"tokens": r[1], "tags": r[2]}, separators=(",", ":")).encode()).hexdigest()[:16] for r in mine}
+        assert digests[split] == hashlib.sha256("".join(sorted(lines)).encode()).hexdigest()
+        assert shares[split] == round(100 * sum(t == "O" for r in mine for t in r[2]) / sum(len(r[2]) for r in mine), 2)
+    assert {r.split: r.digest for r in S.manifest(df.orderBy(F.desc("tokens"))).collect()} == digests
+
+
 def test_list_edit(spark):
     from maskwright.sources.store import edit_list
 

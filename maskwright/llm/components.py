@@ -9,17 +9,22 @@ from maskwright.llm.support import materialize
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, label) for every node of ``edges(a, b)``; the label is the least node of the component.
+    """(node, label) for every node of ``edges(a, b)``; the label is one node of the component, the same for all its nodes.
 
-    Each round gives every node its least neighbour and contracts the edges to those labels, so at least half of the
-    nodes that still have edges vanish. Hubs are safe: minima are partial aggregates.
+    Each round gives every node the first of itself and its neighbours in an order, and contracts the edges to those
+    labels. The first round's order is that of the ids, as stars around their least node then vanish at once; later
+    orders are hashes of the id and the round, so that no numbering is bad: of a path about half of the nodes
+    vanish in a round, and rounds grow with the logarithm of the number of nodes. Hubs are safe: the first neighbour is
+    a partial aggregate. An edge (x, x) counts for nothing.
     """
     pending = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges")
     labels: DataFrame | None = None
     step = 0
     while not pending.isEmpty():
+        order = (lambda c: F.col(c)) if not step else (lambda c, step=step: F.xxhash64(F.col(c), F.lit(step)))
         both = pending.unionByName(pending.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), f"{name}-hop{step}")
+        first = F.least(F.struct(order("a").alias("o"), F.col("a").alias("n")), F.min(F.struct(order("b").alias("o"), F.col("b").alias("n"))))
+        hop = materialize(both.groupBy("a").agg(first.alias("f")).select(F.col("a").alias("node"), F.col("f.n").alias("label")), f"{name}-hop{step}")
         if labels is None:
             labels = hop
         else:
@@ -30,6 +35,4 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         moved = pending.join(left, "a").join(right, "b").filter("la <> lb")
         pending = materialize(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), f"{name}-edges{step}")
         step += 1
-    if labels is None:
-        return pending.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
+    return pending.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels

@@ -8,9 +8,10 @@ given rare shingle the least is the pivot. The steps:
 
 1. One pass over whole texts gives each set's size, a 128-bit identity (equal sets collapse to one) and a parity bitmap,
    whose differing bits are a lower bound of the symmetric difference. The same pass finds frequent shingles.
-2. A second pass emits (rare shingle, set); a sort by shingle gives each set the pivots of its regions.
+2. A second pass emits (rare shingle, set). The least set of each shingle is a partial aggregate; a join gives each set the
+   pivots of its regions, and Spark can split a shingle that very many sets hold.
 3. Set and pivot are compared exactly where the bounds allow a link. What lies within the radius is linked: a group of
-   near copies costs one comparison each, not one for each pair.
+   near copies costs one comparison each, not one for each pair. A pivot of many sets is dealt in salted copies.
 4. Regions that still hold several components are cut into rings of one radius by the distance to the pivot; each set
    also joins the next ring, since by the triangle inequality only neighbouring rings can hold a link. Rings join in
    blocks of bounded size, through the bitmaps first, and only pairs of different components that may link are compared
@@ -46,6 +47,8 @@ COUNT_WINDOW = 1 << 22
 COUNT_LEAST = 4
 #: Members of a block of a region; two blocks are compared in one go.
 BLOCK = 256
+#: Pairs of one pivot that meet in a task; with more, the pivot's set is copied.
+STAR = 4096
 #: Keys of documents (at most 16 bytes each) that are broadcast to pick rows; with more, rows are picked by a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -180,29 +183,15 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, seed: int, levels: tu
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(sids, np.int64), lengths))], ["sig", "sid"])
 
-    return docs.select("text").mapInArrow(batches, "sig long, sid long")
+    found = materialize(docs.select("text").mapInArrow(batches, "sig long, sid long"), "prefixes")
+    held.destroy()
+    return found
 
 
 def _regions(prefixes: DataFrame) -> DataFrame:
-    """(pivot, sid): each set and the least set of each rare shingle it holds, where they differ."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("jaccard_join")
-        last, pivot = None, None  # the rows come sorted; only the current shingle's pivot is remembered
-        for batch in it:
-            sig, sid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            first = np.concatenate(([last is None or sig[0] != last], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, bool)
-            if not len(sig):
-                continue
-            at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            of = np.where(at >= 0, sid[np.maximum(at, 0)], pivot if pivot is not None else 0)
-            last, pivot = sig[-1], of[-1]
-            other = of != sid
-            pairs = np.unique(np.stack([of[other], sid[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["pivot", "sid"])
-
-    parts = prefixes.repartition(F.col("sig")).sortWithinPartitions("sig", "sid")
-    return parts.mapInArrow(batches, "pivot long, sid long").distinct()
+    """(pivot, sid): each set and the least set of each rare shingle it holds, where they differ. A shingle of one set makes no region."""
+    least = prefixes.groupBy("sig").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).filter("pivot <> last").select("sig", "pivot")
+    return prefixes.join(least, "sig").filter("sid <> pivot").select("pivot", "sid").distinct()
 
 
 def _bounded(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -277,7 +266,11 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
                 linked.append(den * inter >= num * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
 
-    rows = pairs.select("a", "b").join(grams.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+    hubs = _sent(materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts")).filter("salts > 1"), "hubs"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    pivots = grams.select(F.col("sid").alias("a"), F.col("grams").alias("ga")).join(hubs, "a", "left").select("a", "ga", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rows = left.join(pivots, ["a", "salt"]).join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     return rows.select("a", "b", "ga", "gb").mapInArrow(batches, "a long, b long, distance double, linked boolean")
 
 
@@ -310,7 +303,8 @@ def _cell_pairs(ring: DataFrame, sets: DataFrame, num: int, den: int, best: bool
     # a pair meets where the later of the two starts, so a cell in which none starts has nothing to compare
     size = ring.groupBy(*CELL).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("own_ring").alias("r"), F.max("own_class").alias("c"))
     size = size.filter((F.col("l0") != F.col("l1")) & (F.col("r") == F.col("ring")) & (F.col("c") == F.col("class")))
-    blocks = ring.join(size.select(*CELL, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), CELL)
+    size = materialize(size.select(*CELL, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "cells")
+    blocks = ring.join(_sent(size), CELL)  # members of a crowded cell need not meet for this
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
     rows = blocks.join(sets.select("sid", "bitmap"), "sid").select(*CELL, "bi", "bj", "own", "sid", "n", "bitmap", "low", "high", "label", "own_ring", "own_class")
@@ -442,7 +436,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, one of each group of near duplicates: the one of the smallest id, then of the smallest text hash.
+    """The rows of ``docs``, one of each group of near duplicates: the one of the smallest id, then of the smallest text hash,
+    then the first by its columns as JSON.
 
     Documents without words are linked with nothing and stay.
     """
@@ -459,7 +454,9 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
         return docs.join(gone, same(gone), "left_anti")
     both = _sent(gone.unionByName(twice))
     rest = docs.join(both, same(both), "left_anti")
-    return rest.unionByName(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
+    # rows equal in id and text but not in other columns: the one whose columns come first as JSON
+    row = F.struct(*docs.columns)
+    return rest.unionByName(docs.join(twice, same(twice), "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,7 +138,8 @@ def near_copies(rng, text, count, edits):
 
 
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
-def test_jaccard_join_equals_brute_force(spark, n, num):
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, n, num):
+    monkeypatch.setattr(jaccard_join, "STAR", 3)  # pivots in several copies
     rng = random.Random(n)
     texts = [prose(rng, rng.randrange(1, 80), 60) for _ in range(60)]
     passage = prose(rng, 60)
@@ -162,6 +163,9 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a), (8, b), (9, None), (10, ""), (None, "null id")], key=str)
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+    assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
+    tied = docs.filter("doc_id = 3").withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id() % 7 + 1))
+    assert [r.source for r in jaccard_join.keep_one(tied.unionByName(tied.withColumn("source", F.lit("a")))).collect()] == ["a"]
 
 
 def test_parity_bound_never_exceeds_the_difference():
@@ -174,10 +178,19 @@ def test_parity_bound_never_exceeds_the_difference():
             assert low <= len(np.setxor1d(a, b))
 
 
-def test_components_of_a_chain(spark):
-    edges = [(k, k + 1) for k in range(0, 60)] + [(200, 100), (100, 200), (7, 7)]
-    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(61)) and got[200] == got[100] == 100
+def test_components_of_a_chain(spark, monkeypatch):
+    rounds = []
+    write = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: (rounds.append(name) if "-hop" in name else None, write(df.coalesce(1), name))[1])
+    edges = [(k, k + 1) for k in range(0, 1000)] + [(2000, 1999), (1999, 2000), (7, 7)]
+    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()}
+    assert len({got[k] for k in range(1001)}) == 1 and got[0] <= 1000 and got[2000] == got[1999] >= 1999 and len(got) == 1003
+    assert len(rounds) <= 16, "ascending ids must not cost a round each"
+
+
+def test_components_of_a_star_take_one_round(spark):
+    edges = [(5, k) for k in range(6, 300)]
+    assert {r.label for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == {5}
 
 
 def test_shards(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -9,15 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions.spans import let
 
 #: The six ASCII white-space bytes: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACE_BYTES)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[list(SPACE_BYTES)] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 #: Bytes of text handled at once; bounds the size of every numpy temporary (a single longer text is one block).
 BLOCK_BYTES = 1 << 20
@@ -50,6 +55,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(text: Column, spans: Column) -> Column:
+    """array<string>: the parts of a text at ``spans``, array<struct<start, end>>, rising and apart.
+
+    Spans are taken in about sqrt(n) blocks, so that a long text is not walked from its start for each of them.
+    """
+
+    def cut(x: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(x["s"]).cast("double"))).cast("int"), F.lit(1))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x["s"]) - 1) / width).cast("int"))
+        return F.flatten(F.transform(blocks, lambda b: let(F.struct(x["t"].alias("t"), F.slice(x["s"], b * width + 1, width).alias("s")), block)))
+
+    def block(y: Column) -> Column:
+        first = F.element_at(y["s"], 1)["start"].cast("int")
+        part = F.substring(y["t"], first + 1, F.element_at(y["s"], -1)["end"].cast("int") - first)
+        return let(F.struct(part.alias("t"), first.alias("first"), y["s"].alias("s")), lambda z: F.transform(z["s"], lambda w: F.substring(z["t"], (w["start"] - z["first"] + 1).cast("int"), (w["end"] - w["start"]).cast("int"))))
+
+    return let(F.struct(text.alias("t"), spans.alias("s")), lambda x: F.when(F.size(x["s"]) > 0, cut(x)).otherwise(F.array().cast("array<string>")))
+
+
 _owner: str | None = None
 _cache: dict = {}
 
@@ -63,6 +87,17 @@ def worker_cache(owner: str) -> dict:
     return _cache
 
 
+@contextlib.contextmanager
+def task_memory() -> Iterator[None]:
+    """Around a task's work: what it allocated goes back to the system when it ends, as workers outlive their tasks."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 values."""
     h = h ^ (h >> np.uint64(30))
@@ -112,7 +147,7 @@ class WordBlock:
 
     def __init__(self, first: int, data: np.ndarray, doc_at: np.ndarray):
         self.first, self.data, self.doc_at = first, data, doc_at
-        inside = ~_IS_SPACE[data]
+        inside = ~IS_SPACE[data]
         starts, ends = inside.copy(), inside.copy()
         if len(data):
             starts[1:] &= ~inside[:-1]
@@ -130,7 +165,7 @@ class WordBlock:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes (ASCII letters lower-cased first if asked)."""
-        data = _LOWER[self.data] if lower else self.data
+        data = LOWER[self.data] if lower else self.data
         power, inverse = _power_tables(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])

@@ -1,15 +1,19 @@
 """Operator 7, main text of web pages by composite text density.
 
-A page is parsed leniently into a tree. Elements that hold no article text by their kind or by a word of their class, id
-or role are taken out, unless they hold the page itself (see ``_outside``). For every remaining node the link-adjusted characters per tag (composite text density) are
+A page is parsed leniently into a tree. For every node the link-adjusted characters per tag (composite text density) are
 computed from the characters and tags below it and those within links; each node's children's densities are summed, and
-the node of the largest sum is the core of the article. The region is the outermost article or main around the core,
-whole, whatever the densities in it; without one, the least density on the path from the body to the core is the
-threshold, and the region grows to ancestors whose other children reach it. The blocks of the region are returned in page order.
+the node of the largest sum is the core of the article. The least density on the path from the body to the core is the
+threshold: what stands beside that path joins the core, part by part, where its density reaches it. A heading before the
+path joins too (of those right below the body only an h1), and below an article or main every part that is not mostly links. The parts are returned in page order.
+
+Kind, class, id and role are evidence that an element holds no article text: it is left out, of the densities too, unless
+it holds the page itself (see ``_outside``). A class counts when all its words are words of boilerplate or of layout, so
+that ``site-footer`` does and ``no-sidebar`` or ``search-results`` do not.
 
 Edge cases: null or empty html, or a page without text outside boilerplate, gives the empty text; tags that are not
-closed end with their parent; very long pages are read whole; repeated rows are extracted each; a null id passes
-through; other columns are not read.
+closed end with their parent; a slash before ``>`` does not close an element; very long and deeply nested pages are read
+whole; repeated rows are extracted each; a null id passes through; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +34,8 @@ from maskwright.llm.support import table, worker_cache
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -46,18 +51,23 @@ _BLOCK = frozenset(
 #: An opening tag of the first kind ends an open element of the second.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div body html main".split())
-#: Words of a class, id or role that mark what is not the article.
+#: Words that mark what is not the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation navigationbar menu menus menubar "
     "breadcrumb breadcrumbs sidebar sidebars complementary contentinfo footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login related recommended share sharing social toolbar search pagination pager".split()
 )
-
-
-#: Marks of what may be longer than the article beside it.
+#: Of these, marks of what may be longer than the article beside it.
 _TALK = frozenset(
     "ad ads advert adverts advertisement advertising adsense cookie cookies consent gdpr comment comments commentlist disqus reply replies respond newsletter subscribe subscription signup login share sharing social".split()
 )
+#: Words of layout that may stand beside a mark, and those that may stand beside one of talk.
+_FILL = frozenset(
+    "area articles bar block bottom box button buttons container first fixed form global holder icon icons inner item items last left link links list main message news outer page panel posts primary "
+    "right secondary section site slot small sticky stories top toggle unit widget widgets wrap wrapper".split()
+)
+_FILL_TALK = _FILL | frozenset("article blog entry post reader readers story user users".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
 
 
 class Page:
@@ -66,8 +76,25 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.why = ["#page"], [-1], [""]
         self.runs: list[tuple[int, str, int]] = []
+        self.between: set[int] = set()
         open_nodes, block, at = [0], 0, 0
+        opened: Counter[str] = Counter()  # open elements by name
         size = len(source)
+
+        def close(depth: int) -> None:
+            opened.subtract(self.tag[n] for n in open_nodes[depth:])
+            del open_nodes[depth:]
+
+        def close_kind(kinds: set[str]) -> None:
+            """End the innermost open element of the kinds that is not beyond an enclosing list, table or section."""
+            if any(opened[k] for k in kinds):
+                for depth in range(len(open_nodes) - 1, 0, -1):
+                    tag = self.tag[open_nodes[depth]]
+                    if tag in kinds:
+                        return close(depth)
+                    if tag in _SCOPE:
+                        return None
+
         while at < size:
             found = _TOKEN.search(source, at)
             stop = found.start() if found else size
@@ -83,55 +110,42 @@ class Page:
             if name in _BLOCK:
                 block += 1
             if closing:
-                for depth in range(len(open_nodes) - 1, 0, -1):
-                    if self.tag[open_nodes[depth]] == name:
-                        del open_nodes[depth:]
-                        break
+                if opened[name]:
+                    close(next(d for d in range(len(open_nodes) - 1, 0, -1) if self.tag[open_nodes[d]] == name))
                 continue
             if name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at) if not attributes.rstrip().endswith("/") else None
-                at = end.end() if end else at if attributes.rstrip().endswith("/") else size
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
+                at = end.end() if end else size
                 continue
-            if name in _BLOCK and name != "br" and "p" in (self.tag[n] for n in open_nodes[-8:]):
-                self._close(open_nodes, {"p"})
+            if name in _BLOCK and name != "br":
+                close_kind({"p"})
             if name in _ENDS:
-                self._close(open_nodes, _ENDS[name])
-            parent = open_nodes[-1]
+                close_kind(_ENDS[name])
             self.tag.append(name)
-            self.parent.append(parent)
-            self.why.append(self._why(name, attributes, open_nodes))
-            if name not in _VOID and not attributes.endswith("/"):
+            self.parent.append(open_nodes[-1])
+            self.why.append(self._why(name, attributes, opened["article"] + opened["main"] > 0))
+            if name not in _VOID:
                 open_nodes.append(len(self.tag) - 1)
+                opened[name] += 1
         self.out = self._outside()
 
-    def _close(self, open_nodes: list[int], kinds: set[str]) -> None:
-        """End the innermost open element of the kinds that is not beyond an enclosing list, table or section."""
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            tag = self.tag[open_nodes[depth]]
-            if tag in kinds:
-                del open_nodes[depth:]
-                return
-            if tag in _SCOPE:
-                return
-
-    def _why(self, name: str, attributes: str, open_nodes: list[int]) -> str:
+    def _why(self, name: str, attributes: str, within: bool) -> str:
         """Why an element looks like boilerplate: never, part, wrap or talk; empty if it does not."""
         if name in _NEVER:
             return "never"
         if name in _PART:
             return "part"
-        kind = "wrap" if name in _WRAP else ""
-        if name == "header" and not any(self.tag[n] in ("article", "main") for n in open_nodes):
-            kind = "wrap"  # a page's header; an article's own header holds its title
-        elif name == "header":
-            return ""
-        if attributes and name not in ("html", "body", "article", "main"):
+        if name == "header" and within:
+            return ""  # an article's own header holds its title
+        kind = "wrap" if name in _WRAP or name == "header" else ""
+        if attributes and name not in ("html", "body", "main"):
             for value in _NAMES.finditer(attributes):
-                words = _WORD.findall((value[1] or value[2] or value[3] or "").lower())
-                if not _TALK.isdisjoint(words):
-                    return "talk"
-                if not _MARKS.isdisjoint(words):
-                    kind = "wrap"
+                for token in (value[1] or value[2] or value[3] or "").split():
+                    words = {w.lower() for w in _WORD.findall(token)}
+                    if words & _TALK and words <= _MARKS | _FILL_TALK:
+                        return "talk"
+                    if words & _MARKS and words <= _MARKS | _FILL:
+                        kind = "wrap"
         return kind
 
     def _outside(self) -> list[bool]:
@@ -224,34 +238,54 @@ class Page:
                 sums[self.parent[k]] += density[k]
         return density, sums
 
-    def region(self) -> int:
-        """The node whose text is the article's."""
+    def region(self) -> set[int]:
+        """The roots of the parts that make up the article; of a path node among them, only its own text and what stands below other roots."""
         density, sums = self.densities()
-        core = max(range(len(sums)), key=lambda k: (sums[k], density[k]))
+        n = len(self.tag)
+        core = max(range(n), key=lambda k: (sums[k], density[k]))
         path = [core]
         while path[-1] > 0:
             path.append(self.parent[path[-1]])
         names = [self.tag[k] for k in path]
-        outer = max((i for i, name in enumerate(names) if name in ("article", "main")), default=-1)
-        if outer >= 0:
-            return path[outer]
-        upto = names.index("body") if "body" in names else len(path) - 1
-        threshold = min(density[k] for k in path[: upto + 1])
-        best = core
-        for child, k in zip(path, path[1 : upto + 1], strict=False):
-            if any(self.parent[s] == k and s != child and density[s] >= threshold > 0 for s in range(k + 1, len(self.tag))):
-                best = k
-        return best
+        path = path[: names.index("body") + 1 if "body" in names else n]
+        threshold = min(density[k] for k in path)
+        chars, linked, titled = [0] * n, [0] * n, [0] * n  # characters below a node, those within links and within headings
+        is_link, is_title = [False] * n, [False] * n
+        for k in range(1, n):
+            is_link[k] = is_link[self.parent[k]] or self.tag[k] == "a"
+            is_title[k] = is_title[self.parent[k]] or self.tag[k] in _HEADINGS
+        for node, text, _ in self.runs:
+            if not self.out[node]:
+                length = sum(map(len, text.split()))
+                chars[node] += length
+                linked[node] += length if is_link[node] else 0
+                titled[node] += length if is_title[node] else 0
+        children: dict[int, list[int]] = {}
+        for k in range(n - 1, 0, -1):
+            for of in (chars, linked, titled):
+                of[self.parent[k]] += of[k]
+            children.setdefault(self.parent[k], []).append(k)
+        roots, top = {core}, 0
+        for depth in range(1, len(path)):
+            child, k = path[depth - 1], path[depth]
+            semantic = any(self.tag[p] in ("article", "main") for p in path[depth:])
+            for s in children[k]:
+                if s != child and chars[s] and not self.out[s]:
+                    heading = s < child and titled[s] == chars[s] and (self.tag[s] == "h1" or k != path[-1])
+                    if density[s] >= threshold > 0 or (heading or semantic) and 2 * linked[s] < chars[s]:
+                        roots.add(s)
+                        top = depth
+        self.between = set(path[1 : top + 1])
+        return roots
 
     def text(self) -> str:
-        root = self.region()
+        roots = self.region()
         inside = [False] * len(self.tag)
-        inside[root] = True
-        for k in range(root + 1, len(self.tag)):
-            inside[k] = inside[self.parent[k]] and not self.out[k]
+        for k in range(len(self.tag)):
+            inside[k] = k in roots or k > 0 and inside[self.parent[k]]
         blocks: dict[int, list[str]] = {}
         for node, text, block in self.runs:
-            if inside[node] and not self.out[node]:
+            if (inside[node] or node in self.between) and not self.out[node]:
                 blocks.setdefault(block, []).append(text)
         return " ".join(filter(None, (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())))
 

@@ -1,14 +1,15 @@
 """Operator 5, secret scan in native expressions: base patterns, and character Markov models compared by log-likelihood ratio.
 
-Two first-order Markov models over characters, of random strings and of ordinary identifiers, are trained on the driver
-from labelled samples. Their log-likelihood ratio is a table of integer weights for character pairs, a constant of the
+Two first-order Markov models over characters, of random strings and of ordinary ones, are trained on the driver from
+labelled samples (``labelled_samples``: keys in several alphabets against identifiers, UUIDs, dates, paths and versions).
+Their log-likelihood ratio is a table of integer weights for character pairs, a constant of the
 plan. A run of 20 or more token characters with a letter and a digit is a secret when its summed weights reach a bound.
 Spans come from the pieces between matches, so documents pass once through built-in expressions, with no Python and no
 shuffle.
 
-Edge cases: null text reads as empty and has no spans; repeated rows are scanned each; a null id passes through; other
-columns are not read. Offsets are code points, ends are exclusive. A Markov span within a base span is not
-added; one that runs beyond it is, so spans can overlap. The SQL below still leaves out every overlapping Markov span.
+Edge cases: null text reads as empty and has no spans; repeated rows are scanned each; a null id passes through; an empty
+table gives no rows; other columns are not read. Offsets are code points, ends are exclusive. A Markov span within a base
+span is not added; one that runs beyond it is, so spans can overlap.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.support import table
+from maskwright.functions.spans import let, running_sums
+from maskwright.llm.support import slices, table
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -35,7 +37,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 _K = len(ALPHABET)
 #: Least sum of weights (a thousandth of a natural logarithm each) of a secret.
 BOUND = 8_000
-SAMPLES = 3_000
+SAMPLES = 4_000
 
 _IDENTIFIER_WORDS = (
     "get set add new user name value item list index count total data file path line text word table column row key map type class object "
@@ -46,18 +48,66 @@ _IDENTIFIER_WORDS = (
 ).split()
 
 
-def labelled_samples(n: int = SAMPLES) -> list[tuple[str, int]]:
-    """(text, 1 for random or 0 for an ordinary identifier), ``n`` of each, the same on every run."""
-    out: list[tuple[str, int]] = []
-    for k in range(n):
-        raw = hashlib.sha512(b"random %d" % k).digest()
-        out.append(((b64encode(raw[:33]).decode(), raw[:20].hex(), raw[:24].hex().upper(), b64encode(raw[:33], b"-_").decode().replace("=", ""))[k % 4], 1))
-        pick = hashlib.sha512(b"identifier %d" % k).digest()
-        words = [_IDENTIFIER_WORDS[int.from_bytes(pick[2 * i : 2 * i + 2], "big") % len(_IDENTIFIER_WORDS)] for i in range(3 + pick[60] % 4)]
-        tail = str(pick[61] % 100) if pick[62] % 3 == 0 else ""
-        joined = (words[0] + "".join(w.title() for w in words[1:]), "_".join(words), "-".join(words), "/".join(words), "_".join(words).upper(), "".join(w.title() for w in words))[pick[63] % 6]
-        out.append((joined + tail, 0))
-    return out
+_PATH_WORDS = "usr lib local share home var opt bin etc src x86_64 linux gnu aarch64 amd64 python3 node_modules v2 2024 site packages main release snapshot".split()
+
+
+class _Draw:
+    """Numbers from hashes of (seed, k): the same on every run and machine."""
+
+    def __init__(self, seed: str, k: int):
+        self.seed, self.k, self.n = seed, k, 0
+
+    def bytes(self, n: int) -> bytes:
+        self.n += 1
+        return hashlib.shake_256(f"{self.seed} {self.k} {self.n}".encode()).digest(n)
+
+    def below(self, n: int) -> int:
+        return int.from_bytes(self.bytes(8), "big") % n
+
+    def words(self, n: int, of: list[str] = _IDENTIFIER_WORDS) -> list[str]:
+        return [of[self.below(len(of))] for _ in range(n)]
+
+    def of(self, alphabet: str, n: int) -> str:
+        return "".join(alphabet[b % len(alphabet)] for b in self.bytes(n))
+
+
+def _random_text(d: _Draw) -> str:
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    return (
+        lambda: b64encode(d.bytes(33)).decode(), lambda: d.bytes(20).hex(), lambda: d.bytes(24).hex().upper(), lambda: b64encode(d.bytes(33), b"-_").decode().replace("=", ""),
+        lambda: d.of(lower + lower.upper() + digits, 32 + d.below(16)), lambda: d.of(lower + digits, 32 + d.below(8)), lambda: d.of(lower.upper() + "234567", 32),
+    )[d.k % 7]()
+
+
+def _ordinary_text(d: _Draw) -> str:
+    words = d.words(3 + d.below(4))
+    date = (f"{1990 + d.below(45)}", f"{1 + d.below(12):02}", f"{1 + d.below(28):02}")
+    clock = (f"{d.below(24):02}", f"{d.below(60):02}", f"{d.below(60):02}")
+    tail = str(d.below(100)) if d.below(3) == 0 else ""
+    kind = d.k % 16
+    if kind < 6:
+        return (words[0] + "".join(w.title() for w in words[1:]), "_".join(words), "-".join(words), "/".join(words), "_".join(words).upper(), "".join(w.title() for w in words))[kind] + tail
+    if kind == 6:
+        raw = d.bytes(16).hex()
+        return "-".join((raw[:8], raw[8:12], raw[12:16], raw[16:20], raw[20:]))
+    if kind in (7, 9):
+        return "-".join(date) + "T" + "-".join(clock) + "Z-" + "-".join(words)
+    if kind == 10:
+        return "/".join((*words[:2], *date, "-".join(d.words(4)) + "-" + str(d.below(100_000))))
+    if kind == 11:
+        return "/" + "/".join(d.words(2 + d.below(3), _PATH_WORDS) + d.words(2)) + "/" + str(d.below(10))
+    if kind in (8, 12):
+        return "-".join((words[0], str(d.below(10)), str(d.below(30)), str(d.below(100)), *d.words(2, _PATH_WORDS)))
+    if kind == 13:
+        return "_".join((words[0], words[1], "".join(date), f"{d.below(10**9):09}"))
+    if kind == 14:
+        return "/".join(d.words(2, _PATH_WORDS) + ["_".join(words), "-".join(d.words(2)) + str(d.below(1000))])
+    return "+".join(words) + "+" + "".join(date) + "T" + "".join(clock)
+
+
+def labelled_samples(n: int = SAMPLES, seed: str = "train") -> list[tuple[str, int]]:
+    """(text, 1 for random or 0 for ordinary), ``n`` of each, the same on every run; another seed gives others."""
+    return [(make(_Draw(f"{seed} {label}", k)), label) for k in range(n) for make, label in ((_random_text, 1), (_ordinary_text, 0))]
 
 
 def train(samples: Iterable[tuple[str, int]]) -> list[int]:
@@ -78,16 +128,14 @@ def train(samples: Iterable[tuple[str, int]]) -> list[int]:
 def _matches(text: Column, pattern: str, keep: Callable[[Column], Column], group: int = 0) -> Column:
     """array<struct<start, end>> of the matches whose text (or given group) passes ``keep``."""
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(F.arrays_zip(found.alias("m"), values.alias("v")), F.slice(gaps, 1, F.size(found)), lambda mv, gap: F.struct(F.length(gap).alias("gap"), F.length(mv["m"]).alias("size"), keep(mv["v"]).alias("ok")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + x["size"]
-        return F.struct(stop.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("end"))))).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        rows = F.arrays_zip(x["m"].alias("m"), x["v"].alias("v"), x["gaps"].alias("gap"), running_sums(F.zip_with(x["m"], x["gaps"], lambda m, gap: F.length(m) + gap)).alias("at"))
+        kept = F.filter(rows, lambda r: keep(r["v"]))
+        return F.transform(kept, lambda r: F.struct((r["at"] + r["gap"]).alias("start"), (r["at"] + r["gap"] + F.length(r["m"])).alias("end")))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return let(F.struct(found.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("gaps")), placed)
 
 
 def _random(value: Column, weights: list[int], bound: int) -> Column:
@@ -136,23 +184,29 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def masked(text: Column, found: Column, mask: str = "*") -> Column:
-    """The text with every character of a span replaced; its length stays."""
+def masked(text: Column, found: Iterable[Column], mask: str = "*") -> Column:
+    """The text with every character of a span replaced, one kind of spans (rising and apart) after the other; its length stays."""
 
-    def step(acc: Column, s: Column) -> Column:
-        start, stop = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(mask), stop - start)).alias("out"))
+    def one(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(x["s"], lambda s: s["end"]))
+        ends = F.concat(F.transform(x["s"], lambda s: s["start"]), F.array(F.length(x["t"])))
+        between = slices(x["t"], F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+        stars = F.concat(F.transform(x["s"], lambda s: F.repeat(F.lit(mask), s["end"] - s["start"])), F.array(F.lit("")))
+        return F.when(F.size(x["s"]) > 0, F.array_join(F.zip_with(between, stars, lambda a, b: F.concat(a, b)), "")).otherwise(x["t"])
 
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    for spans in found:
+        text = let(F.struct(text.alias("t"), spans.alias("s")), one)
+    return text
 
 
 def mask_secrets(docs: DataFrame, weights: list[int] | None = None, bound: int = BOUND, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, secrets in the text masked. A null text stays null."""
     weights = train(labelled_samples()) if weights is None else weights
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array_sort(F.concat(*find_spans(text, weights, bound).values()))
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), masked(text, found)))
+    kinds = find_spans(text, weights, bound)
+    named = docs.withColumn("_spans", F.struct(*(s.alias(k) for k, s in kinds.items())))
+    safe = masked(text, [F.col("_spans")[k] for k in kinds])
+    return named.withColumn(text_col, F.when(F.col(text_col).isNotNull(), safe)).drop("_spans")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +242,7 @@ s_run AS (SELECT r, start, size, v FROM ({spans('x', RUN, "length(m[i]) >= 20 AN
 base AS ({tagged}),
 s_markov AS (
   SELECT s_run.* FROM s_run CROSS JOIN weights WHERE {score} >= {BOUND}
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s_run.r AND b.start < s_run.start + s_run.size AND s_run.start < b.stop)
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = s_run.r AND b.start <= s_run.start AND s_run.start + s_run.size <= b.stop)
 ),
 every AS (SELECT * FROM base UNION ALL SELECT r, start, 3, start + size, 'markov' FROM s_markov)
 SELECT d.doc_id,

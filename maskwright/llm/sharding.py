@@ -5,9 +5,9 @@ split on one more bit, until each fits. The depths up to the one where an averag
 the sizes of that depth's prefixes; rows are moved for it and for each depth below. Only (hash, bytes) pairs are shuffled,
 never texts, and the driver sees counts alone.
 
-Equal rows would share all bits, so the hash covers the id, the text's hash and the number of the copy among equal rows:
-any shard of two or more rows can be split. A single row larger than the limit ends in a shard of its own, flagged
-``oversized``. A null or empty text has 0 bytes; a null id is a value like any other; an empty table gives no shards.
+Equal rows would share all bits, so the hash (64 bits of an md5) covers the id, the text's hash and the number of the copy
+among equal rows: any shard of two or more rows can be split. A single row larger than the limit ends in a shard of its own,
+flagged ``oversized``. A null or empty text has 0 bytes; a null id is a value like any other; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ def _prefix(hash_col: Column, depth: Column) -> Column:
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, bytes, hash), one row per input row. Copies of a row are counted before the shuffle and numbered after it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("bytes"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("bytes"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("content"))
     counted = rows.groupBy("doc_id", "bytes", "content").agg(F.count(F.lit(1)).alias("n"))
     numbered = counted.select("doc_id", "bytes", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    return numbered.select("doc_id", "bytes", F.xxhash64("doc_id", "content", "copy").alias("hash"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content", "copy")
+    return numbered.select("doc_id", "bytes", F.conv(F.substring(F.md5(key.cast("binary")), 1, 16), 16, -10).cast("long").alias("hash"))
 
 
 def _splits(size: str, rows: str, max_bytes: int) -> Column:
@@ -75,15 +76,37 @@ def assign_shards(docs: DataFrame, max_bytes: int = SHARD_BYTES, id_col: str = "
     return done
 
 
+def with_directory(shards: DataFrame) -> DataFrame:
+    """``shards`` with ``global_depth``, the bits of the directory, and ``entries``, how many of its 2^global_depth
+    entries point to the row's shard; entries of a half without rows belong to none."""
+    deepest = shards.agg(F.max("depth").alias("global_depth"))  # one row
+    return shards.crossJoin(F.broadcast(deepest)).withColumn("entries", F.expr("shiftleft(cast(1 as bigint), global_depth - depth)"))
+
+
 def directory(shards: DataFrame) -> DataFrame:
-    """The hash directory: one row per shard with its bits, depth, rows and bytes, and the number of global-depth entries that point to it."""
-    leaves = shards.select("shard", "depth", "shard_bytes", "shard_rows", "oversized").distinct()
-    deepest = leaves.agg(F.max("depth").alias("global_depth"))
-    return leaves.crossJoin(F.broadcast(deepest)).withColumn("entries", F.pow(F.lit(2.0), F.col("global_depth") - F.col("depth")).cast("long"))
+    """The hash directory: one row per shard with its bits, depth, rows, bytes and number of entries."""
+    return with_directory(shards.select("shard", "depth", "shard_bytes", "shard_rows", "oversized").distinct())
 
 
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"))
+    return with_directory(assign_shards(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_extendible_shards": op4_extendible_shards}
+
+_BITS = "array_to_string(list_transform(range(1, 17), lambda i: right(bin(strpos('0123456789abcdef', substr({h}, i, 1)) + 15), 4)), '')"
+_SPLITS = f"(shard_bytes > {SHARD_BYTES} AND shard_rows > 1)"
+
+ORACLES = {
+    "op4_extendible_shards": f"""
+WITH k AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes, md5(coalesce(text, '')) AS content FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bytes, content) AS copy FROM k),
+h AS (SELECT row_number() OVER () AS r, doc_id, bytes, {_BITS.format(h="md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || content || ':' || copy)")} AS bits FROM n),
+l AS (SELECT r, doc_id, bytes, CAST(d AS INTEGER) AS depth, substr(bits, 1, d) AS shard FROM h, range({MAX_DEPTH + 1}) t(d)),
+s AS (SELECT shard, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM l GROUP BY shard),
+f AS (SELECT l.r, min(depth) AS depth FROM l JOIN s USING (shard) WHERE NOT {_SPLITS} OR depth = {MAX_DEPTH} GROUP BY l.r)
+SELECT doc_id, bytes, shard, depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversized,
+  max(depth) OVER () AS global_depth, CAST(1 AS BIGINT) << (max(depth) OVER () - depth) AS entries
+FROM l JOIN f USING (r, depth) JOIN s USING (shard)
+"""
+}

@@ -117,7 +117,7 @@ def grow(x: np.ndarray, y: np.ndarray, signs: dict[int, int], *, trees: int = 60
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a bounded sample: at most ``max_rows`` label rows are broadcast and collected."""
+    """Features and labels of a bounded sample: at most ``max_rows`` label rows are broadcast, and as many rows collected."""
     sample = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter("doc_id is not null and quality in (0, 1)")
@@ -129,10 +129,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.nda
         worker_cache("quality_rules")
         for batch in it:
             _, feats = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(feats), pa.list_(pa.float64()))], ["quality", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(feats), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
 
-    # repeated document rows could multiply the sample, hence the second limit
-    got = texts.mapInArrow(batches, "quality int, f array<double>").limit(2 * max_rows).toPandas()
+    # an id of several document rows counts once for each label, with the least of their statistics: never more rows than the sample
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(batches, "doc_id long, quality int, f array<double>")
+    got = rows.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).toPandas()
     return np.array(got["f"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES)), got["quality"].to_numpy(np.float64)
 
 

@@ -1,13 +1,14 @@
 """Operator 2, quality classifier: regularised quadratic discriminant analysis.
 
 Class means and covariances over transformed document statistics are exact sums over all labelled training rows (added
-up in Spark; only one matrix per class reaches the driver). Each covariance is shrunk towards a pooled diagonal, its
-Cholesky factor is cached, and a score is the logistic of the difference of the Mahalanobis log densities plus the log
-prior ratio.
+up in Spark; only one matrix per class reaches the driver). Each covariance is shrunk towards a pooled diagonal; its
+Cholesky factor and that factor's inverse are computed once, so a batch of scores is one triangular product for each class. A score is
+the logistic of the difference of the Mahalanobis log densities plus the log prior ratio.
 
 Edge cases: a null or empty text is scored on all-zero statistics like any other; a null id counts as not held out and
 learns nothing; a label row that is null or not 0/1 is ignored; repeated rows are scored each; without both classes in
-the training rows every score is the share of label 1 (0.5 without labels); other columns are not read.
+the training rows every score is the share of label 1 (0.5 without labels); an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def transform(feats: np.ndarray) -> np.ndarray:
 class Discriminant:
     means: np.ndarray  # class x feature
     factors: np.ndarray  # Cholesky factors of the shrunk covariances
+    inverses: np.ndarray  # of the factors, lower triangular like them
     log_dets: np.ndarray
     log_priors: np.ndarray
     flat: float | None = None  # constant score where one class has no rows
@@ -51,17 +53,27 @@ class Discriminant:
             return np.full(len(x), self.flat)
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-            logs.append(self.log_priors[c] - 0.5 * (self.log_dets[c] + (z * z).sum(axis=0)))
+            z = (x - self.means[c]) @ self.inverses[c].T
+            logs.append(self.log_priors[c] - 0.5 * (self.log_dets[c] + (z * z).sum(axis=1)))
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -60, 60)))
 
 
+def lower_inverse(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, row by row by forward substitution."""
+    out = np.zeros_like(factor)
+    for k in range(len(factor)):
+        out[k] = -factor[k, :k] @ out[:k]
+        out[k, k] += 1
+        out[k] /= factor[k, k]
+    return out
+
+
 def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: float = SHRINKAGE) -> Discriminant:
     """From per-class row counts, sums and sums of outer products."""
     d = sums.shape[1]
     if (counts <= 0).any():
         total = counts.sum()
-        return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2), np.zeros(2), float(counts[1] / total) if total else 0.5)
+        return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros((2, d, d)), np.zeros(2), np.zeros(2), float(counts[1] / total) if total else 0.5)
     means = sums / counts[:, None]
     covs = squares / counts[:, None, None] - means[:, :, None] * means[:, None, :]
     pooled = np.diag((covs * counts[:, None, None]).sum(axis=0) / counts.sum())
@@ -69,7 +81,7 @@ def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrinkage: fl
     shrunk = (1 - shrinkage) * covs + shrinkage * target
     factors = np.linalg.cholesky(shrunk)
     log_dets = 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1)
-    return Discriminant(means, factors, log_dets, np.log(counts / counts.sum()))
+    return Discriminant(means, factors, np.stack([lower_inverse(f) for f in factors]), log_dets, np.log(counts / counts.sum()))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -49,8 +49,8 @@ COUNT_LEAST = 4
 BLOCK = 256
 #: Pairs of one pivot that meet in a task; with more, the pivot's set is copied.
 STAR = 4096
-#: Keys of documents (at most 16 bytes each) that are broadcast to pick rows; with more, rows are picked by a shuffled join.
-MAX_BROADCAST_IDS = 1_000_000
+#: Rows of a table of keys (at most 64 bytes each) that are broadcast; with more, the join that they are used in shuffles.
+MAX_BROADCAST_IDS = 200_000
 
 _CELL_MASK = np.uint64((1 << CELL_BITS) - 1)
 
@@ -414,7 +414,7 @@ def set_components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     labels, grams = _link(docs, n, seed, num, den, best.groupBy("la", "lb").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b"), sets, grams, labels, "best")
     apart = _labelled(_labelled(best.drop("la", "lb"), labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
     # a cell that gave a pair of components which are still apart is searched again, whole
-    again = materialize(ring.join(apart.select(*CELL).distinct(), CELL, "left_semi"), "again")
+    again = materialize(ring.join(_sent(materialize(apart.select(*CELL).distinct(), "apart")), CELL, "left_semi"), "again")
     if not again.isEmpty():
         rest = _cell_pairs(_labelled(again, labels, "sid", "label"), sets, num, den, False).select("a", "b").distinct()
         labels, _ = _link(docs, n, seed, num, den, rest, sets, grams, labels, "rest")
@@ -431,8 +431,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     keyed = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("sid"))
     keyed = keyed.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "sid").alias("component"))
     keyed = materialize(keyed, "labelled")
-    least = keyed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return keyed.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # only components of several rows are joined back, so that one of very many rows need not meet in a task
+    least = keyed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    least = materialize(least.select(F.col("component").alias("shared"), "least"), "least")
+    both = keyed.join(_sent(least), F.col("component") == F.col("shared"), "left")
+    return both.select("doc_id", "text_key", "n_shingles", "component", F.when(F.col("shared").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -442,8 +445,8 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     Documents without words are linked with nothing and stay.
     """
     found = jaccard_join(docs, n, num, den).filter("component is not null")
-    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("rows"))
-    groups = materialize(found.join(chosen.filter("rows > 1"), "component"), "groups")
+    chosen = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    groups = materialize(found.join(_sent(materialize(chosen.select("component", "best"), "best-rows")), "component"), "groups")
     key = F.struct("doc_id", "text_key")
     gone = groups.filter(~key.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     twice = groups.filter(key.eqNullSafe(F.col("best"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().filter("count > 1").drop("count")
@@ -464,3 +467,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_jaccard_join": op3_jaccard_join}
+
+ORACLES = {
+    "op3_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+one AS (SELECT x, y FROM shared JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+links AS (SELECT x, y FROM one UNION ALL SELECT y, x FROM one),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT a, y FROM reach JOIN links ON x = b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a) c ON c.a = d.r
+"""
+}

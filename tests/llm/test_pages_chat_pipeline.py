@@ -45,17 +45,67 @@ TALK = "<p>A reader's comment, all in all longer than the article above.</p>" *
         (f'<body><div><article>{BODY}</article></div><div class="comments"><article>{TALK}</article></div></body>', BODY_TEXT),
         (f'<body><div>{BODY}</div><div class="cookie-notice">{TALK}</div></body>', BODY_TEXT),
         ("<body><nav>x</nav><footer>y</footer><select><option>z</select></body>", ""),
+        ("<body><div class='content no-sidebar'>The text.</div></body>", "The text."),
+        (f"<body><div class='comment-free-zone'>{BODY}</div><div id='search-results'>{BODY}</div></body>", f"{BODY_TEXT} {BODY_TEXT}"),
+        (f"<body><article><div class='post-header'><h1>Head line</h1></div>{BODY}<div class='post-comments'>c</div></article></body>", "Head line " + BODY_TEXT),
+        (f"<body><script src=https://a.com/>var secret=1;</script><p>{BODY_TEXT}</p></body>", BODY_TEXT),
+        ("<p class=ad>buy" + "<b>" * 9 + "<div>The article text.</div>", "The article text."),
+        (f"<body><div>{BODY}</div><article class='comment'>{TALK}</article></body>", BODY_TEXT),
+        (f"<body><ul><li><a href=x>one link</a><li><a href=y>two</a></ul><div><h1>T one</h1><div>{BODY}</div></div><p id=cookieNotice>cookies</p></body>", "T one " + BODY_TEXT),
+        (f"<body><div><div>{BODY}{BODY}</div><div>{BODY}</div><div><a href=x>more to read</a> <a href=y>and more of it</a></div></div></body>", " ".join([BODY_TEXT] * 3)),
+        (f"<body><main><div>{BODY}</div><p>Short end.</p><p><a href=x>a list of links</a></p></main></body>", BODY_TEXT + " Short end."),
+        (f"<body><div data-id=sidebar class=text>{BODY}</div></body>", BODY_TEXT),
+        ("<div>" * 3000 + BODY + "</b>" * 3000, BODY_TEXT),
     ],
 )
 def test_boilerplate_that_holds_the_page_stays(source, text):
     assert html_text.main_text(source) == text
 
 
+def test_densities_equal_the_formula_on_random_trees():
+    """An independent, recursive reading of the definition; the region holds the node of the largest sum."""
+    import math
+
+    rng = random.Random(11)
+
+    def tree(depth):
+        return (rng.choice(["div", "p", "a", "b"]) if depth else "body", "".join(rng.choice("xyz ") for _ in range(rng.randrange(12))), [tree(depth + 1) for _ in range(rng.randrange(4))] if depth < 4 else [])
+
+    def html(node):
+        return f"<{node[0] if node[0] != 'p' else 'div'}>{node[1]}{''.join(map(html, node[2]))}</{node[0] if node[0] != 'p' else 'div'}>"
+
+    def counts(node, link=False):
+        """(characters, tags below, characters in links, tags in links below) and the same of all nodes in page order."""
+        link = link or node[0] == "a"
+        c = len(node[1].replace(" ", ""))
+        total, below = [c, 0, c if link else 0, 0], []
+        for child in node[2]:
+            (cc, ct, cl, clt), rest = counts(child, link)
+            own = link or child[0] == "a"
+            total = [total[0] + cc, total[1] + ct + 1, total[2] + cl, total[3] + clt + own]
+            below += rest
+        return total, [(total, len(node[2]))] + below
+
+    for _ in range(60):
+        root = tree(0)
+        page = html_text.Page(html(root))
+        density, sums = page.densities()
+        (c0, _, l0, _), every = counts(root)
+        expected = []
+        for (c, t, lc, lt), _ in every:
+            base = math.log(c / max(1, c - lc) * lc + l0 / max(1, c0) * c + math.e)
+            expected.append(c / max(1, t) * max(0.0, math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)))) / base if c else 0.0)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(density[1:], expected, strict=True))
+        assert all(abs(sums[k] - sum(density[j] for j in range(1, len(density)) if page.parent[j] == k)) < 1e-9 for k in range(len(sums)))
+        assert max(range(len(sums)), key=lambda k: (sums[k], density[k])) in page.region()
+
+
 def test_extract_keeps_every_row(spark):
     long = "<article>" + "<p>some words here</p>" * 5000 + "</article>"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", long)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert next(r for r in got if r.page_id == 2).text == " ".join(["some words here"] * 5000)
 
 
@@ -128,6 +178,26 @@ def test_distrust_spreads_backwards(spark):
     assert {r.page_id: r.verdict for r in url_graph.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_only_links_of_a_elements_count(spark):
+    rows = [(1, "http://bad.net/es/1", None), (2, "http://css.org/1", '<link href="http://bad.net/x.css">'), (3, "http://cite.org/1", "<a class='l'\n href='http://bad.net/x'>l</a>"), (4, "http://data.org/1", "<a data-href=http://bad.net/x>l</a><abbr href=http://bad.net/x>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "rank", "bad", "src", "dst", "ruled")})
+    assert {r.page_id: r.verdict for r in url_graph.judge(pages).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_oracle_of_the_graph(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    hosts = [f"h{k}.org" for k in range(30)] + ["a.net", "b.net", "example.com"]
+    page = lambda k: (k, f"http://{rng.choice(hosts)}{rng.choice(['/es/1', '/fr/', '/en/'])}", "".join(f'<a href="//{rng.choice(hosts[-12:])}/q">l</a>' for _ in range(rng.randrange(3))))
+    spark.createDataFrame([page(k) for k in range(90)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = db.execute(url_graph.ORACLES["op9_url_graph"]).fetchall()
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_graph.op9_url_graph(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and {g[4] for g in got if g[3] is None} == {"allow", "block"}
+
+
 def test_distrust_reaches_the_end_of_long_chains(spark):
     link = lambda h: f'<a href="http://{h}/x">l</a>'
     rows = [(0, "http://bad.net/es/1", None)] + [(k, f"http://h{k}.org/", link(f"h{k - 1}.org" if k > 1 else "bad.net")) for k in range(1, 25)]

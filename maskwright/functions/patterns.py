@@ -1,7 +1,7 @@
-r"""Patterns of the detectors as Java regular expressions.
+r"""Patterns of the detectors, as regular expressions that Python and Java read alike.
 
 Group 1 is what precedes a value and group 2 the value where a detector masks only a part; other patterns have no
-groups. Classes are ASCII. ``(?d)`` makes ``\n`` the only line end.
+groups. Classes are ASCII.
 """
 
 from __future__ import annotations

@@ -1,26 +1,28 @@
-"""Detectors: text to typed findings, one column function each, and their concatenation in a fixed order.
+"""Detectors: text to typed findings, as a column.
 
 A finding is struct<category, start, length, confidence, severity, value_start, value_length, source, ord>. ``severity`` is
 0 to 3, ``value_start`` and ``value_length`` are null unless only a part of the match is the value. ``ord`` is the detector's
-number and breaks ties. Offsets are code points. A detector that the settings switch off leaves no trace in the plan.
+number and breaks ties. Offsets are code points. What finds them is ``functions.engine``, on Arrow batches.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
+from collections.abc import Iterable
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions import patterns as P
-from maskwright.functions.spans import find_matches, is_ipv4, is_ipv6, is_private_ipv4, let
+from maskwright.functions import engine
+from maskwright.functions.engine import CRITICAL, HIGH, LOW, MEDIUM
 from maskwright.settings import Settings
 
 FINDING = "struct<category:string,start:int,length:int,confidence:double,severity:int,value_start:int,value_length:int,source:string,ord:int>"
-LOW, MEDIUM, HIGH, CRITICAL = range(4)
 NONE = f"array<{FINDING}>"
+NAMES = tuple(d.__name__ for d in engine.DETECTORS)
+__all__ = ["CRITICAL", "FINDING", "HIGH", "LOW", "MEDIUM", "NAMES", "detect", "finding", "none"]
+
+_FIELDS = (("category", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("confidence", pa.float64()), ("severity", pa.int32()), ("value_start", pa.int32()), ("value_length", pa.int32()), ("source", pa.string()), ("ord", pa.int32()))
 
 
 def none() -> Column:
@@ -36,238 +38,32 @@ def finding(category: Column | str, start: Column, length: Column, confidence: C
     )
 
 
-def _optional(*found: tuple[Column, Column]) -> Column:
-    """array of the findings whose condition holds, in order."""
-    return F.filter(F.array(*(F.when(cond, f) for cond, f in found)), lambda f: f.isNotNull())
-
-
-def _simple(text: Column, pattern: str, category: str, confidence: float, severity: int, order: int, grouped: bool = False, gate: str | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
-    found = find_matches(text, pattern, grouped, gate)
-    if keep is not None:
-        found = F.filter(found, keep)
-
-    def one(m: Column) -> Column:
-        value = (m["start"] + F.length(m["pre"]), F.length(m["val"])) if grouped else None
-        return finding(category, m["start"], F.length(m["m"]), confidence, severity, order, value)
-
-    return F.transform(found, one)
-
-
-def _ip_or_host(host: Column, at: Column, length: Column, conf_ip: float, conf_host: float, order: int, s: Settings) -> list[tuple[Column, Column]]:
-    v4, v6 = is_ipv4(host), is_ipv6(F.regexp_replace(host, r"^\[|\]$", ""))
-    private = v4 & is_private_ipv4(host)
-    out = []
-    if s.mask_private_ip:
-        out.append((private, finding("PrivateIp", at, length, conf_ip, LOW, order)))
-    if s.mask_public_ip:
-        out.append((v4 & ~private, finding("PublicIp", at, length, conf_ip, LOW, order)))
-        out.append((v6, finding("Ipv6", at, length, conf_ip, LOW, order)))
-    if s.mask_domains:
-        out.append((~v4 & ~v6 & (host != ""), finding("Hostname", at, length, conf_host, MEDIUM, order)))
-    return out
-
-
-def _uris(text: Column, pattern: str, category: str, confidence: float, password: str, order: int, s: Settings) -> Column:
-    """A finding for the whole address, its credentials, host, port and first path segment.
-
-    Parts are located by their first occurrence in the match. A scheme's default port counts as named by the text.
-    """
-
-    def cut(m: Column) -> Column:
-        part = lambda k: F.regexp_extract(m["m"], P.URI_PARTS, k)
-        default = functools.reduce(lambda e, kv: F.when(F.lower(part(1)) == kv[0], str(kv[1])).otherwise(e), P.DEFAULT_PORTS.items(), F.lit(""))
-        port = F.when(part(4) != "", F.regexp_replace(part(4), "^0+(?=.)", "")).otherwise(default)
-        named = F.struct(m["m"].alias("u"), m["start"].alias("at"), part(3).alias("host"), port.alias("port"), F.regexp_extract(part(5), "^/+([^/]+)", 1).alias("db"))
-        return let(named, parts)
-
-    def parts(x: Column) -> Column:
-        u, at, host, port, name = x["u"], x["at"], x["host"], x["port"], x["db"]
-        found = [(F.lit(True), finding(category, at, F.length(u), confidence, LOW, order))]
-        if s.mask_passwords:
-            head = F.instr(u, "://") + 2  # offset of what follows
-            stop = F.instr(u, "@") - 1
-            info = F.substring(u, head + 1, stop - head)
-            colon = F.instr(info, ":")
-            has = stop > head
-            found.append((has, finding("Username", at + head, F.when(colon > 0, colon - 1).otherwise(F.length(info)), 0.90, MEDIUM, order)))
-            found.append((has & (colon > 0), finding(password, at + head + colon, F.length(info) - colon, 0.99, CRITICAL, order)))
-        found += [((host != "") & c, f) for c, f in _ip_or_host(host, at + F.instr(F.lower(u), F.lower(host)) - 1, F.length(host), 0.95, 0.95, order, s)]
-        if s.mask_ports:
-            where = F.instr(u, F.concat(F.lit(":"), port))
-            found.append(((port != "") & (port != "0") & (where > 0), finding("Port", at + where, F.length(port), 0.99, MEDIUM, order)))
-        if s.mask_databases:
-            where = F.instr(u, F.concat(F.lit("/"), name))
-            found.append(((name != "") & (where > 0), finding("DatabaseName", at + where, F.length(name), 0.95, MEDIUM, order)))
-        return _optional(*found)
-
-    return F.flatten(F.transform(find_matches(text, pattern, gate="://"), cut))
-
-
-def database_uris(text: Column, s: Settings, order: int) -> Column:
-    return _uris(text, P.DATABASE_URI, "DatabaseUrl", 0.99, "DatabaseCredential", order, s)
-
-
-def credential_urls(text: Column, s: Settings, order: int) -> Column:
-    return _uris(text, P.URL, "SensitiveUrl", 0.95, "PasswordLike", order, s)
+def structs(rows: list[tuple], fields: Iterable[tuple[str, pa.DataType]]) -> pa.StructArray:
+    """An Arrow array of structs from tuples."""
+    fields = list(fields)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def connection_strings(text: Column, s: Settings, order: int) -> Column:
-    """The whole string, and its password, user, host, port and database by patterns inside it."""
+def lists(rows: list[list[tuple]], fields: Iterable[tuple[str, pa.DataType]]) -> pa.ListArray:
+    """An Arrow array of lists of structs."""
+    ends = [0]
+    for r in rows:
+        ends.append(ends[-1] + len(r))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs([x for r in rows for x in r], fields))
 
-    def nested(m: Column, pattern: str, category: str, confidence: float, severity: int) -> Column:
-        return F.transform(find_matches(m["m"], pattern, True), lambda x: finding(category, m["start"] + x["start"] + F.length(x["pre"]), F.length(x["val"]), confidence, severity, order))
 
-    def host(m: Column) -> Column:
-        def one(x: Column) -> Column:
-            at, value = m["start"] + x["start"] + F.length(x["pre"]), x["val"]
-            sep = F.length(F.regexp_extract(value, "^([^:,]*)[:,]", 1))
-            cut = (sep > 0) & value.rlike("^[^:,]+[:,]")
-            only = F.when(cut, F.substring(value, F.lit(1), sep)).otherwise(value)
-            tail = F.length(value) - sep - 1
-            found = [(cut & (tail > 0), finding("Port", at + sep + 1, tail, 0.95, MEDIUM, order))] if s.mask_ports else []
-            wanted = found or s.mask_private_ip or s.mask_public_ip or s.mask_domains
-            return let(only, lambda o: _optional(*found, *_ip_or_host(o, at, F.length(o), 0.90, 0.90, order, s))) if wanted else none()
-
-        return F.flatten(F.transform(find_matches(m["m"], P.CONN_HOST, True), one))
-
-    def parts(m: Column) -> Column:
-        out = [F.array(finding("ConnectionString", m["start"], F.length(m["m"]), 0.95, LOW, order))]
-        if s.mask_passwords:
-            out += [nested(m, P.CONN_PASSWORD, "DatabaseCredential", 0.99, CRITICAL), nested(m, P.CONN_USER, "Username", 0.90, MEDIUM)]
-        out.append(host(m))
-        if s.mask_ports:
-            out.append(nested(m, P.CONN_PORT, "Port", 0.95, MEDIUM))
-        if s.mask_databases:
-            out.append(nested(m, P.CONN_DATABASE, "DatabaseName", 0.90, MEDIUM))
-        return F.concat(*out)
-
-    return F.flatten(F.transform(find_matches(text, P.CONNECTION_STRING, gate="=[^;]+;[^;]+="), parts))
-
-
-def cloud_credentials(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.CLOUD, "CloudCredential", 0.99, CRITICAL, order, True, "=") if s.mask_secrets else none()
-
-
-def auth_headers(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, "(?d)" + P.AUTH_HEADER, "AuthHeader", 0.99, CRITICAL, order, True, "(?i)bearer|authorization|x-api-key") if s.mask_secrets else none()
-
-
-def api_keys(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.API_KEY, "ApiKey", 0.99, CRITICAL, order, gate="AKIA|sk-|ghp_|ya29|AIza") if s.mask_secrets else none()
-
-
-def jwts(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.JWT, "TokenLike", 0.95, HIGH, order, gate=r"ey[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]") if s.mask_secrets else none()
-
-
-def private_keys(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.PRIVATE_KEY, "PrivateKey", 1.0, CRITICAL, order, gate="-----BEGIN") if s.mask_secrets else none()
-
-
-def _by_word(s: Settings, words: str, what: Callable[[Column], Column]) -> Callable[[Column], Column] | None:
-    """Keeps a match by the toggle for passwords if its text has one of the words, else by the one for secrets."""
-    if s.mask_passwords and s.mask_secrets:
-        return None
-    return (lambda m: what(m).rlike(words)) if s.mask_passwords else (lambda m: ~what(m).rlike(words))
-
-
-def json_secrets(text: Column, s: Settings, order: int) -> Column:
-    if not (s.mask_passwords or s.mask_secrets):
-        return none()
-    return _simple(text, P.JSON_SECRET, "JsonSecret", 0.95, HIGH, order, True, r"""["']\s*:""", keep=_by_word(s, "(?i)password|pwd", lambda m: m["m"]))
-
-
-def environment_variables(text: Column, s: Settings, order: int) -> Column:
-    if not (s.mask_passwords or s.mask_secrets):
-        return none()
-    return _simple(text, "(?d)" + P.ENV_VAR, "EnvironmentVariable", 0.95, CRITICAL, order, True, "=", _by_word(s, "(?i)PASSWORD|PWD", lambda m: F.substring_index(m["m"], "=", 1)))
-
-
-def hashes_in_context(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.HASH_CONTEXT, "HashContext", 0.90, HIGH, order, True, "[0-9a-fA-F]{32}") if s.mask_hashes else none()
-
-
-def standalone_hashes(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.HASH_ID, "HashId", 0.85, MEDIUM, order, gate="[0-9a-fA-F]{32}") if s.mask_hashes else none()
-
-
-def ipv4_addresses(text: Column, s: Settings, order: int) -> Column:
-    def keep(m: Column) -> Column:
-        ok = is_ipv4(m["m"])
-        if not s.mask_private_ip:
-            ok = ok & ~is_private_ipv4(m["m"])
-        if not s.mask_public_ip:
-            ok = ok & is_private_ipv4(m["m"])
-        return ok
-
-    if not (s.mask_private_ip or s.mask_public_ip):
-        return none()
-    found = F.filter(find_matches(text, P.IPV4, gate=r"\d\.\d"), keep)
-    return F.transform(found, lambda m: finding(F.when(is_private_ipv4(m["m"]), "PrivateIp").otherwise("PublicIp"), m["start"], F.length(m["m"]), 0.90, LOW, order))
-
-
-def ipv6_addresses(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.IPV6, "Ipv6", 0.90, LOW, order, gate=":[0-9A-Fa-f]{0,4}:", keep=lambda m: is_ipv6(m["m"])) if s.mask_public_ip else none()
-
-
-def emails(text: Column, s: Settings, order: int) -> Column:
-    """Not inside an address: no ``://`` before the match without a blank, tab or line end between."""
-    keep = lambda m: ~F.substring(text, F.lit(1), m["start"]).rlike(r"://[^ \t\r\n]*\z")
-    return _simple(text, P.EMAIL, "Email", 0.90, MEDIUM, order, gate="@", keep=keep) if s.mask_emails else none()
-
-
-def phones(text: Column, s: Settings, order: int) -> Column:
-    return _simple(text, P.PHONE, "Phone", 0.90, MEDIUM, order, gate=r"\d{3}[-.\s]?\d{4}") if s.mask_phones else none()
-
-
-def hostnames(text: Column, s: Settings, order: int) -> Column:
-    keep = lambda m: (m["start"] == 0) | (F.substring(text, m["start"], F.lit(1)) != "@")
-    return _simple(text, P.HOSTNAME, "Hostname", 0.80, LOW, order, gate=r"[a-zA-Z0-9]\.[a-zA-Z0-9]", keep=keep) if s.mask_domains else none()
-
-
-def key_values(text: Column, s: Settings, order: int) -> Column:
-    """The finding is the value itself; the key decides how sure and how severe."""
-    if not (s.mask_passwords or s.mask_secrets):
-        return none()
-    found = find_matches(text, P.KEY_VALUE, True, r"(?i)(?:d|secret|token|key)\s*[:=]")
-    keep = _by_word(s, "(?i)^(password|pwd)", lambda m: m["pre"])
-    found = F.filter(found, keep) if keep else found
-
-    def one(m: Column) -> Column:
-        at, size = m["start"] + F.length(m["pre"]), F.length(m["val"])
-        explicit = m["pre"].rlike("(?i)^password")
-        return finding("PasswordLike", at, size, F.when(explicit, 0.99).otherwise(0.90), F.when(explicit, CRITICAL).otherwise(MEDIUM), order, (at, size))
-
-    return F.transform(found, one)
-
-
-def custom(text: Column, s: Settings, order: int) -> Column:
-    """User patterns, without case. Blank and invalid ones, and those that match the empty text, are left out."""
-    compile_ = SparkSession.active()._jvm.java.util.regex.Pattern
-    out = []
-    for pattern in s.custom_patterns:
-        if not pattern.strip():
-            continue
-        try:
-            if compile_.compile("(?i)" + pattern).matcher("").find():
-                continue
-        except IllegalArgumentException:  # a malformed pattern
-            continue
-        out.append(F.transform(find_matches(text, "(?i)" + pattern), lambda m: finding("SecretLike", m["start"], F.length(m["m"]), 0.99, HIGH, order, source="CustomRule")))
-    return F.concat(*out) if out else none()
-
-
-DETECTORS: tuple[tuple[str, Callable[[Column, Settings, int], Column]], ...] = (
-    ("database_uris", database_uris), ("credential_urls", credential_urls), ("connection_strings", connection_strings), ("cloud_credentials", cloud_credentials),
-    ("auth_headers", auth_headers), ("api_keys", api_keys), ("jwts", jwts), ("private_keys", private_keys), ("json_secrets", json_secrets),
-    ("environment_variables", environment_variables), ("hashes_in_context", hashes_in_context), ("standalone_hashes", standalone_hashes), ("ipv4_addresses", ipv4_addresses),
-    ("ipv6_addresses", ipv6_addresses), ("emails", emails), ("phones", phones), ("hostnames", hostnames), ("key_values", key_values), ("custom", custom),
-)
+def finding_lists(rows: list[list[tuple]]) -> pa.ListArray:
+    return lists(rows, _FIELDS)
 
 
 def detect(text: Column, settings: Settings = Settings(), only: tuple[str, ...] | None = None) -> Column:
     """All findings of a text, in detector order; null text has none."""
     if settings.bypass:
         return none()
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(*(f(text, settings, k).cast(NONE) for k, (name, f) in enumerate(DETECTORS) if only is None or name in only))
+
+    @F.arrow_udf(NONE)
+    def found(texts: pa.Array) -> pa.Array:
+        return finding_lists([engine.detect(t, settings, only) for t in texts.to_pylist()])
+
+    return found(text)

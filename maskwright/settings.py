@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    """Toggles default to on; lists are plain values matched without case; ``custom_patterns`` are Java regular expressions."""
+    """Toggles default to on; lists are plain values matched without case; ``custom_patterns`` are Python regular expressions."""
 
     enabled: bool = True
     mask_passwords: bool = True

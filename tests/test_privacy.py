@@ -1,5 +1,6 @@
 import ipaddress
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,31 @@ def test_user_name_needs_something_sensitive_before(spark):
 def test_long_inputs(spark):
     big = "Server=" + "h;k=v" * 300 + " " + ".".join(["a"] * 150) + " " + "word " * 50_000
     assert classify(rows(spark, [big])).select(F.size("result.findings")).first()[0] > 0
+    deep = ".".join(["a"] * 5000) + ".com Server=" + "h;k=v" * 50_000  # deep repeats, which no stack limits
+    found = classify(rows(spark, [deep])).select("result.findings").first().findings
+    assert {f.category for f in found} >= {"Hostname", "ConnectionString"}
+
+
+def test_a_hundred_thousand_findings_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"u{k}@b.example.org" for k in range(n))
+    began = time.time()
+    row = mask_twice(rows(spark, [text]), settings=Settings(double_layer=False)).select(F.size("result.findings").alias("n"), F.size("result.plan").alias("spans"), F.col("masked.safe_text").alias("s")).first()
+    assert (row.n, row.spans) == (n, n) and len(row.s) == len(text) and row.s.count("@") == 0
+    preview = rows(spark, [text]).select(mask_findings(F.col("text"), detect(F.col("text"), only=("emails",))).alias("p")).first().p
+    assert preview == row.s and time.time() - began < 60
+
+
+def test_plans_are_built_at_once(spark):
+    df = rows(spark, ["x"])
+    began = time.time()
+    mask_twice(df)
+    assert time.time() - began < 1
+
+
+def test_a_filter_does_not_run_detection_twice(spark):
+    df = mask_twice(rows(spark, ["a@b.co", "x"])).filter("result.is_sensitive AND masked.success").filter(F.size("result.plan") > 0)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and df.count() == 1
 
 
 def test_html_fragment(spark):

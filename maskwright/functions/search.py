@@ -1,4 +1,8 @@
-"""Prefix search: a raw query is a conjunction of terms; a term is a phrase whose last token is a prefix."""
+"""Prefix search: a raw query is a conjunction of terms; a term is a phrase whose last token is a prefix.
+
+Query and text are folded by one rule: lower case, Latin letters with one mark to the letter, those marks dropped where
+they stand alone, a few letter variants to their usual form. Other letters stay as they are, composed or not.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +12,54 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"[^\W_]+", re.UNICODE)
-# Latin letters with marks and what they fold to.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrsssstt" + "uuuuuuuuuuwyyyzzz"
+# Variants of letters and what they fold to.
+_VARIANTS = dict(zip("µſςϐϑϕϖϰϱϵ", "μsσβθφπκρε", strict=True))
+
+
+def _marked_letters() -> tuple[dict[str, str], str]:
+    """(lower-case Latin letters that are a plain letter with one mark, the marks themselves)."""
+    letters, marks = {}, set()
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+            marks.add(parts[1])
+            if c == c.lower():
+                letters[c] = parts[0]
+    return letters, "".join(sorted(marks))
+
+
+_LETTERS, _MARKS = _marked_letters()
+_FOLDS = _LETTERS | _VARIANTS
+_TABLE = str.maketrans(_FOLDS | dict.fromkeys(_MARKS, ""))
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return text.lower().translate(_TABLE)
+
+
+def folded(text: Column) -> Column:
+    """The same of a column."""
+    return F.translate(F.lower(text), "".join(_FOLDS) + _MARKS, "".join(_FOLDS.values()))
+
+
+def _tokens(text: str) -> list[str]:
+    """Runs of letters, numbers and private-use characters."""
+    kinds = ((c, unicodedata.category(c)) for c in text)
+    return "".join(c if k[0] in "LN" or k == "Co" else " " for c, k in kinds).split()
+
+
+def _words(raw: str) -> list[str]:
+    return [w for w in re.sub(r'["*^:()]', " ", raw).split(" ") if w.strip()]
 
 
 def expression(raw: str) -> str:
     """The query as a full-text expression: operators become blanks, each word a quoted prefix, all joined by AND."""
-    words = [w for w in re.sub(r'["*^:()]', " ", raw).split(" ") if w.strip()]
-    return " AND ".join(f'"{w}"*' for w in words)
+    return " AND ".join(f'"{w}"*' for w in _words(raw))
 
 
 def parse_query(raw: str) -> list[list[str]]:
     """Tokens of each term; a term without tokens is an empty list, which nothing matches."""
-    words = [w for w in re.sub(r'["*^:()]', " ", raw).split(" ") if w.strip()]
-    return [_TOKEN.findall(fold(w)) for w in words]
-
-
-def folded(text: Column) -> Column:
-    """Lower case without the marks of Latin letters, composed or combining."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"\p{Mn}", "")
+    return [_tokens(fold(w)) for w in _words(raw)]
 
 
 def matches(text: Column, terms: list[list[str]]) -> Column:

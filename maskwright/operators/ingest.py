@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.operators.masking import html_text, mask_twice
-from maskwright.operators.policy import fenced
+from maskwright.operators.masking import html_text, mask_findings, mask_twice
+from maskwright.operators.policy import classify, fenced
 from maskwright.settings import Settings
 
 ML_LINES = 1000
@@ -96,3 +96,15 @@ def paste_decision(state: Column, expires_at: Column, windows_id: Column, restor
 def listing(kind: Column, text: Column) -> Column:
     """What a history list shows of an entry: its text, or a placeholder for what has none."""
     return F.when(kind == "Image", "[image]").when(F.coalesce(text, F.lit("")) != "", text).when(kind == "Html", "[html]").when(kind == "Rtf", "[rich text]").otherwise("[unknown]")
+
+
+def redaction_harness(texts: DataFrame, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row per non-blank line of each text, with the other columns: line_number (from 1, blank lines count), original_length,
+    redacted_text (the preview by findings), finding_count and categories (distinct, in order)."""
+    lines = texts.select("*", F.posexplode(F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n", -1)).alias("_at", "_line")).drop(text_col)
+    found = classify(lines.filter(~F.col("_line").rlike(r"^\s*$")), "_line", settings, "_result")
+    findings = F.col("_result.findings")
+    return found.select(
+        *(c for c in texts.columns if c != text_col), (F.col("_at") + 1).alias("line_number"), F.length("_line").alias("original_length"), mask_findings(F.col("_line"), findings).alias("redacted_text"),
+        F.size(findings).alias("finding_count"), F.array_distinct(F.transform(findings, lambda f: f["category"])).alias("categories"),
+    )

@@ -1,12 +1,16 @@
 """History store on Parquet: an append-only log of operations and latest-wins views.
 
-An operation is (op_id, at, op, id, item columns...). Items, search rows and settings are what the log's operations leave;
-nothing is updated in place, so an appended batch is atomic and a batch written twice is the same batch.
+An operation is (at, op, id, item columns...): insert, delete, pin or unpin. Items, search rows and settings are what the
+log's operations leave; nothing is updated in place. A batch lies in a folder of its writer and its number: it is atomic,
+written twice it is the same batch, and another writer's batch of the same number is another one. Clearing and expiring
+log the deletes of the items that they find.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.search import matches, parse_query
@@ -14,6 +18,10 @@ from maskwright.settings import Settings
 
 VERSION = 2
 ITEM = ("id", "windows_id", "created_at", "content_type", "protection_state", "safe_text", "primary_category", "expires_at", "is_pinned")
+LOGGED = (
+    ("windows_id", "string"), ("created_at", "timestamp"), ("content_type", "string"), ("protection_state", "string"), ("safe_text", "string"), ("primary_category", "string"),
+    ("expires_at", "timestamp"), ("is_pinned", "boolean"), ("search_text", "string"),
+)
 STATES = ("Normal", "Protected", "Expired", "ReplacementFailed")
 
 
@@ -60,15 +68,19 @@ def search_items(items: DataFrame, search: DataFrame, raw: str) -> DataFrame:
     return items.join(hits, "id", "left_semi")
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """Items that a log (seq, op, id, created_at, expires_at) leaves: the last insert of an id that no later delete took,
-    with the last pin or unpin after it."""
-    per_id = Window.partitionBy("id")
-    last_insert = F.max(F.when(F.col("op") == "insert", F.col("seq"))).over(per_id)
-    last_delete = F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(per_id)
-    marked = log.withColumn("ins", last_insert).withColumn("del", last_delete).filter(F.col("ins").isNotNull() & (F.col("del").isNull() | (F.col("del") < F.col("ins"))) & (F.col("seq") >= F.col("ins")))
-    pinned = F.max_by(F.col("op") == "pin", F.when(F.col("op").isin("pin", "unpin"), F.col("seq")))
-    return marked.groupBy("id").agg(F.max(F.when(F.col("seq") == F.col("ins"), F.col("created_at"))).alias("created_at"), F.coalesce(pinned, F.lit(False)).alias("is_pinned"))
+def replay(log: DataFrame, order: tuple[str, ...] = ("seq",), columns: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """(id, columns, is_pinned) of the items that a log (order columns, op, id, columns) leaves: the last insert of an id that no
+    later delete took, with the last pin or unpin after it. All partial aggregates; ``is_pinned`` may be among the columns."""
+    seq = F.struct(*order)
+    of = lambda *ops: F.col("op").isin(*ops)
+    held = log.groupBy("id").agg(
+        F.max(F.when(of("insert"), seq)).alias("_ins"), F.max(F.when(of("delete"), seq)).alias("_del"), F.max_by(F.struct(*columns), F.when(of("insert"), seq)).alias("_row"),
+        F.max(F.when(of("pin", "unpin"), F.struct(seq.alias("at"), (F.col("op") == "pin").alias("pin")))).alias("_pin"),
+    )
+    live = held.filter(F.col("_ins").isNotNull() & (F.col("_del").isNull() | (F.col("_del") < F.col("_ins"))))
+    own = F.coalesce(F.col("_row.is_pinned"), F.lit(False)) if "is_pinned" in columns else F.lit(False)
+    pinned = F.when(F.col("_pin.at") > F.col("_ins"), F.col("_pin.pin")).otherwise(own)
+    return live.select("id", *(F.col(f"_row.{c}").alias(c) for c in columns if c != "is_pinned"), pinned.alias("is_pinned"))
 
 
 def migrate_v1(old: DataFrame) -> DataFrame:
@@ -106,24 +118,49 @@ class HistoryStore:
             raise ValueError(f"store version {found} is newer than {VERSION}")
         return found
 
-    def append(self, kind: str, batch: DataFrame, batch_id: int) -> None:
-        """Write one batch; writing the same batch id again replaces it."""
-        batch.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch_id}")
+    def append(self, kind: str, rows: DataFrame, stream: str, batch_id: int) -> None:
+        """Write one batch of a writer; writing the same batch of the same writer again replaces it."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{kind}/stream={stream}/batch={batch_id}")
 
-    def add(self, rows: DataFrame, batch_id: int) -> None:
-        """Items and, for searchable ones, search rows of one batch."""
-        self.append("search", rows.filter(~F.col("search_text").rlike(r"^\s*$") & (F.col("protection_state") == "Normal")).select(F.col("id").alias("item_id"), "search_text"), batch_id)
-        self.append("items", rows.drop("search_text"), batch_id)
+    def _log(self, op: str, rows: DataFrame, stream: str | None, batch_id: int) -> None:
+        """Log an operation on each of the rows; only inserts hold more than the id."""
+        columns = [F.col(c) if op == "insert" else F.lit(None).cast(t).alias(c) for c, t in LOGGED]
+        self.append("log", rows.select(F.current_timestamp().alias("at"), F.lit(op).alias("op"), "id", *columns), stream or uuid.uuid4().hex, batch_id)
 
-    def read(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}").drop("batch")
+    def add(self, rows: DataFrame, batch_id: int = 0, stream: str | None = None) -> None:
+        """Items with their search text. Without a name of the writer every call is a batch of its own."""
+        self._log("insert", rows, stream, batch_id)
+
+    def delete(self, ids: DataFrame, batch_id: int = 0, stream: str | None = None) -> None:
+        self._log("delete", ids, stream, batch_id)
 
-    def save_settings(self, settings: Settings, batch_id: int) -> None:
-        self.append("settings", self.spark.range(1).select(F.lit("privacy").alias("key"), F.lit(settings.to_json()).alias("json_value"), F.lit(batch_id).alias("n")), batch_id)
+    def set_pinned(self, ids: DataFrame, pinned: bool, batch_id: int = 0, stream: str | None = None) -> None:
+        self._log("pin" if pinned else "unpin", ids, stream, batch_id)
+
+    def clear_unpinned(self, batch_id: int = 0, stream: str | None = None) -> None:
+        self.delete(self.read("items").filter(~F.col("is_pinned")).select("id"), batch_id, stream)
+
+    def expire(self, now: Column | None = None, batch_id: int = 0, stream: str | None = None) -> None:
+        """The sweep: log the deletes of items whose expiry has passed, pinned or not."""
+        self.delete(self.read("items").filter(F.col("expires_at") <= (F.current_timestamp() if now is None else now)).select("id"), batch_id, stream)
+
+    def read(self, kind: str) -> DataFrame:
+        """``items``, or ``search``: rows of live, normal items with a search text."""
+        schema = f"at timestamp, op string, id string, {', '.join(f'{c} {t}' for c, t in LOGGED)}, stream string, batch long"
+        log = self.spark.read.schema(schema).parquet(f"{self.path}/log") if self._exists("log") else self.spark.createDataFrame([], schema)
+        rows = replay(log, ("at", "stream", "batch"), tuple(c for c, _ in LOGGED))
+        if kind == "items":
+            return rows.select(*ITEM)
+        return rows.filter(~F.col("search_text").rlike(r"^\s*$") & (F.col("protection_state") == "Normal")).select(F.col("id").alias("item_id"), "search_text")
+
+    def save_settings(self, settings: Settings, batch_id: int = 0, stream: str | None = None) -> None:
+        row = self.spark.range(1).select(F.lit("privacy").alias("key"), F.lit(settings.to_json()).alias("json_value"), F.current_timestamp().alias("at"))
+        self.append("settings", row, stream or uuid.uuid4().hex, batch_id)
 
     def load_settings(self) -> Settings:
         """The latest settings; missing or malformed ones read as the defaults."""
         if not self._exists("settings"):
             return Settings()
-        row = self.read("settings").groupBy("key").agg(F.max_by("json_value", "n").alias("v")).filter("key = 'privacy'").first()
-        return Settings.from_json(row["v"] if row else None)
+        rows = self.spark.read.parquet(f"{self.path}/settings").filter("key = 'privacy'")
+        row = rows.agg(F.max_by("json_value", F.struct("at", "stream", "batch")).alias("v")).first()
+        return Settings.from_json(row["v"])

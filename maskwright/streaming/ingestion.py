@@ -44,12 +44,27 @@ def without_own_writes(events: DataFrame) -> DataFrame:
     return keyed.groupBy("key").applyInPandasWithState(step, "text string, seq long", "expected long", "append", GroupStateTimeout.NoTimeout)
 
 
+def persist(outcomes: DataFrame, store: HistoryStore, batch_id: int, stream: str) -> DataFrame:
+    """Store what outcome rows keep; the outcomes, where the store fails with PersistenceFailed for the rows it was to keep."""
+    try:
+        store.add(stored(outcomes), batch_id, stream)
+    except Exception:  # the failure is the outcome
+        return outcomes.withColumn("outcome", F.when(F.col("outcome").isin("Ignored", "MaskingFailed"), F.col("outcome")).otherwise("PersistenceFailed"))
+    return outcomes
+
+
 def ingest_stream(payloads: DataFrame, store: HistoryStore, checkpoint: str) -> DataStreamWriter:
-    """A writer that ingests each micro-batch into the store. Settings are read once per batch; the batch id makes it idempotent."""
+    """A writer that ingests each micro-batch into the store and then sweeps it.
+
+    Settings are read once per batch. A batch's folder is named by the query's id, which its checkpoint keeps, and the
+    batch id: a batch that is tried again replaces itself, and another query never replaces it. A store that fails stops the
+    query, which takes the batch up again when restarted.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = stored(ingest(batch, store.load_settings(), F.current_timestamp()))
-        store.add(rows, batch_id)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        store.add(stored(ingest(batch, store.load_settings(), F.current_timestamp())), batch_id, stream)
+        store.expire(batch_id=batch_id, stream=f"{stream}-sweep")
 
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

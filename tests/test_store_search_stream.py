@@ -8,10 +8,10 @@ from maskwright.functions.search import expression, matches, parse_query
 from maskwright.operators import ingest as I
 from maskwright.settings import Settings
 from maskwright.sources import store as R
-from maskwright.streaming.ingestion import ingest_stream, live_items, without_own_writes
+from maskwright.streaming.ingestion import ingest_stream, live_items, persist, without_own_writes
 
-TEXTS = ["api key rotation", "foo-bar baz", "bar foo", "Café au lait", "straße 12", "snake_case name", "a b c", "", "déjà-vu 42nd"]
-QUERIES = ["api key", "ap", "foo-bar", "foo-b", "-", "café", "cafe", 'a"b*', "strasse", "snake case", "snake_ca", "42", "deja vu", "b a", "caf lait"]
+TEXTS = ["한국 여행", "tiếng Việt", "ёлка и ЙОД", "ΟΔΟΣ σοφός", "がんばる か\u3099", "e\u0301te\u0301 x\u0305y", "ſtrange µm ϕ", "İstanbul ǅ", "דָּבָר", "api key rotation", "foo-bar baz", "bar foo", "Café au lait", "straße 12", "snake_case name", "a b c", "", "déjà-vu 42nd"]
+QUERIES = ["한국", "tiếng", "tieng", "ёлка", "елка", "йод", "οδοσ", "σοφος", "がんば", "か", "été", "ete", "x", "y", "strange", "μm", "φ", "istan", "ǆ", "דבר", "api key", "ap", "foo-bar", "foo-b", "-", "café", "cafe", 'a"b*', "strasse", "snake case", "snake_ca", "42", "deja vu", "b a", "caf lait"]
 
 
 @pytest.mark.parametrize("raw", QUERIES)
@@ -45,14 +45,35 @@ def test_store_round_trip(spark, tmp_path):
     store = R.HistoryStore(spark, str(tmp_path / "s"))
     assert store.open() == R.VERSION and store.load_settings() == Settings()
     rows = I.stored(I.ingest(payloads(spark), Settings(), F.current_timestamp()))
-    store.add(rows, 0)
-    store.add(rows, 0)  # the same batch again changes nothing
+    assert store.read("items").count() == store.read("search").count() == 0
+    store.add(rows, 0, "a")
+    store.add(rows, 0, "a")  # the same batch again changes nothing
     assert store.read("items").count() == 4
+    other = rows.withColumn("id", F.concat(F.lit("b"), "id"))
+    store.add(other, 0, "b")  # another writer's batch of the same number
+    assert store.read("items").count() == 8
+    store.delete(other.select("id"))
+    assert {r.id for r in store.read("items").collect()} == {"1", "2", "3", "5"}
     assert {r.id for r in R.search_items(store.read("items"), store.read("search"), "wor").collect()} == {"1"}
-    store.save_settings(Settings(mask_emails=False), 1)
+    store.save_settings(Settings())
+    store.save_settings(Settings(mask_emails=False))
     assert not store.load_settings().mask_emails
     items, _ = R.clear_unpinned(R.set_pinned(store.read("items"), "1", True), store.read("search"))
     assert {r.id for r in items.collect()} == {"1"}
+    store.expire(F.current_timestamp() + F.expr("INTERVAL 1 HOUR"))
+    assert {r.id for r in store.read("items").collect()} == {"1", "3", "5"}, "the protected item has expired"
+    store.set_pinned(rows.select("id").filter("id = '1'"), True)
+    store.clear_unpinned()
+    left = store.read("items").collect()
+    assert [(r.id, r.is_pinned) for r in left] == [("1", True)] and store.read("search").count() == 1
+    store.add(rows.filter("id = '2'"))
+    assert {r.id for r in store.read("items").collect()} == {"1", "2"}, "an id can come again after its delete"
+
+
+def test_failed_store_is_an_outcome(spark, tmp_path):
+    (tmp_path / "s").write_text("not a folder")
+    out = persist(I.ingest(payloads(spark), Settings(), F.current_timestamp()), R.HistoryStore(spark, str(tmp_path / "s")), 0, "a")
+    assert {r.id: r.outcome for r in out.collect()} == {"1": "PersistenceFailed", "2": "PersistenceFailed", "3": "PersistenceFailed", "4": "Ignored", "5": "PersistenceFailed"}
 
 
 def test_newer_store_is_refused(spark, tmp_path):
@@ -69,6 +90,10 @@ def test_stream_ingests(spark, tmp_path):
     query = ingest_stream(stream, store, str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert live_items(store).count() == 4
+    again = ingest_stream(stream, store, str(tmp_path / "c2")).trigger(availableNow=True).start()
+    again.awaitTermination()
+    folders = {p.name for p in (tmp_path / "s" / "log").iterdir() if not p.name.endswith("-sweep")}
+    assert {f"stream={q.id}" for q in (query, again)} <= folders, "each query keeps its own history"
     assert "abc" not in " ".join(r.safe_text for r in store.read("items").collect())
 
 

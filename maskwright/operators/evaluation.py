@@ -76,3 +76,8 @@ def examples(judged: DataFrame, per_kind: int = 10) -> DataFrame:
 
 def truncated_records(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.size("pred_tags") < F.size("tokens")).alias("truncated"))
+
+
+def recall_gate(scored: DataFrame, least: float = 0.85) -> DataFrame:
+    """One row: recall over all spans and whether a model may be released; without a score it may not."""
+    return scored.filter("type = 'ALL'").agg(F.max("recall").alias("recall")).select("recall", F.coalesce(F.col("recall") >= least, F.lit(False)).alias("released"))

@@ -7,9 +7,10 @@ import json
 import os
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -104,25 +105,40 @@ def tokenize(df: DataFrame, vocab: dict[str, int], text_col: str = "text", out:
     return df.withColumn(out, cut(F.col(text_col)))
 
 
-def infer(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "logits") -> DataFrame:
-    """``df`` with token logits of an ONNX model, one session per task; a failing row gets none."""
+def infer_batches(run: Callable[[np.ndarray], np.ndarray], rows: list[list[int]], most: int = 64) -> tuple[list[list], list[str | None]]:
+    """(logits, error) of each row: rows of one length go through the model together; if that fails, each by itself."""
+    found: list[list] = [[] for _ in rows]
+    errors: list[str | None] = [None] * len(rows)
+    by_length: dict[int, list[int]] = {}
+    for k, ids in enumerate(rows):
+        by_length.setdefault(len(ids), []).append(k)
+    for length, every in sorted(by_length.items()):
+        for a in range(0, len(every) if length else 0, most):
+            some = every[a : a + most]
+            try:
+                for k, out in zip(some, run(np.array([rows[k] for k in some], np.int64)), strict=True):
+                    found[k] = out.tolist()
+            except Exception:  # the contract: no result rather than a failed task, and the reason beside it
+                for k in some:
+                    try:
+                        found[k] = run(np.array([rows[k]], np.int64))[0].tolist()
+                    except Exception as error:
+                        errors[k] = f"{type(error).__name__}: {error}"
+    return found, errors
+
+
+def infer(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "logits", error: str = "error") -> DataFrame:
+    """``df`` with token logits of an ONNX model, one session per task; a failing row gets none, and the reason in ``error``."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
+        session = onnxruntime.InferenceSession(model_path)  # the runtime's own choice: an accelerator where there is one
         for pdf in it:
-            found = []
-            for ids in pdf[ids_col]:
-                try:
-                    row = np.array([ids], dtype=np.int64)
-                    found.append(session.run(None, {"input_ids": row, "attention_mask": np.ones_like(row)})[0][0].tolist())
-                except Exception:  # the contract: no result rather than a failed task
-                    found.append([])
-            yield pdf.assign(**{out: found})
+            found, errors = infer_batches(lambda ids: session.run(None, {"input_ids": ids, "attention_mask": np.ones_like(ids)})[0], [list(x) for x in pdf[ids_col]])
+            yield pdf.assign(**{out: found, error: errors})
 
-    return df.mapInPandas(batches, df.schema.add(out, "array<array<double>>"))
+    return df.mapInPandas(batches, df.schema.add(out, "array<array<double>>").add(error, "string"))
 
 
 def model_findings(logits: Column, offsets: Column, threshold: float = 0.75) -> Column:
@@ -171,3 +187,12 @@ def model_gate(folder: str) -> str:
     if float((info.get("evaluation") or {}).get("span_recall_overall") or 0.0) < LEAST_RECALL:
         return "RecallTooLow"
     return "Loaded"
+
+
+def gate_status(version: Column, info: Column, digest: Column) -> Column:
+    """The same of a row: the pointed-to version, the manifest as struct<content_sha256, semver, recall> and the model's digest, each null where missing."""
+    return (
+        F.when(version.isNull(), "NoPointer").when(info.isNull(), "NoManifest").when(digest.isNull(), "NoModel")
+        .when(F.lower(digest) != F.lower(F.coalesce(info["content_sha256"], F.lit(""))), "HashMismatch").when(F.substring_index(F.coalesce(info["semver"], F.lit("")), ".", 1) != "1", "IncompatibleVersion")
+        .when(F.coalesce(info["recall"], F.lit(0.0)) < LEAST_RECALL, "RecallTooLow").otherwise("Loaded")
+    )

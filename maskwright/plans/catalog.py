@@ -13,7 +13,7 @@ from maskwright.operators import masking as M
 from maskwright.operators.detectors import detect
 from maskwright.operators.policy import classify, merge_spans
 from maskwright.plans import oracle as O
-from maskwright.plans import relational
+from maskwright.plans import extended, relational
 from maskwright.settings import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,30 +78,16 @@ def p_overlap_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("id", F.col("s.start").cast("long").alias("start"), F.col("s.length").cast("long").alias("length"), F.col("s.mode").cast("long").alias("mode"))
 
 
-def p_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = classify(payload(spark, d, "kv"))
-    return rows.select("id", F.col("result.is_sensitive").alias("is_sensitive"), F.round(F.col("result.confidence") * 100).cast("long").alias("conf"), F.col("result.severity").cast("long").alias("severity"), F.col("result.primary_category").alias("primary_category"))
-
-
 def p_allowlist(spark: SparkSession, d: str) -> DataFrame:
     rows = classify(payload(spark, d, "urls"), "text", Settings(**(_OFF | {"mask_domains": True, "allowed_domains": ("example.com",)})))
     return rows.select("id", F.size(F.filter("result.findings", lambda f: f["category"] == "Hostname")).cast("long").alias("hosts"))
 
 
-def p_toggles_off(spark: SparkSession, d: str) -> DataFrame:
-    rows = classify(payload(spark, d, "documents"), "text", Settings(**_OFF))
-    return rows.select("id", F.col("result.is_sensitive").alias("is_sensitive"), F.size("result.findings").cast("long").alias("n"))
-
-
 def m_preview(spark: SparkSession, d: str) -> DataFrame:
     rows = classify(payload(spark, d, "auth"))
     return rows.select("id", M.mask_findings(F.col("text"), F.filter("result.findings", lambda f: f["category"] == "AuthHeader")).alias("preview"))
 
 
-def m_double(spark: SparkSession, d: str) -> DataFrame:
-    return M.mask_twice(payload(spark, d, "documents"), "text", EMAILS_ONLY).select("id", F.col("masked.safe_text").alias("safe_text"))
-
-
 def m_html(spark: SparkSession, d: str) -> DataFrame:
     pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.concat(F.lit("<!--StartFragment-->"), "html", F.lit("<!--EndFragment-->")).alias("html"))
     return pages.select("id", F.md5(M.html_text(F.col("html"))).alias("digest"), F.length(M.html_text(F.col("html"))).cast("long").alias("n"))
@@ -164,7 +150,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "d_email": (_detects("documents", "emails"), _D(O.source("documents"), P.EMAIL, "'Email'", 90, 1, where=_EMAIL_OK)),
     "d_hash_standalone": (_detects("documents", "standalone_hashes"), _D(O.source("documents"), P.HASH_ID, "'HashId'", 85, 1)),
     "d_hash_ctx": (_detects("hash", "hashes_in_context"), _D(O.source("hash"), P.HASH_CONTEXT, "'HashContext'", 90, 2, True)),
-    "d_hostname": (_detects("documents", "hostnames"), _D(O.source("documents"), P.HOSTNAME, "'Hostname'", 80, 0, where="start = 0 OR substr(text, start, 1) <> '@'")),
+    "d_hostname": (_detects("hosts", "hostnames"), _D(O.source("hosts"), P.HOSTNAME, "'Hostname'", 80, 0, where="start = 0 OR substr(text, start, 1) <> '@'")),
     "d_api_key": (_detects("api", "api_keys"), _D(O.source("api"), P.API_KEY, "'ApiKey'", 99, 3)),
     "d_jwt": (_detects("jwt", "jwts"), _D(O.source("jwt"), P.JWT, "'TokenLike'", 95, 2)),
     "d_pem": (_detects("pem", "private_keys"), _D(O.source("pem"), P.PRIVATE_KEY, "'PrivateKey'", 100, 3)),
@@ -182,12 +168,9 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "d_custom": (_detects("documents", "custom", settings=Settings(custom_patterns=(r"token = \S+", "(", " "))), _D(O.source("documents"), r"(?i)token = \S+", "'SecretLike'", 99, 2)),
     "d_phone": (_detects("phone", "phones"), None),
     "d_ipv6": (_detects("ipv6", "ipv6_addresses"), None),
-    "d_all": (lambda spark, d: _findings(payload(spark, d, "conversations"), detect(F.col("text"))).groupBy("category").agg(F.count(F.lit(1)).alias("n")), None),
     "p_overlap_merge": (p_overlap_merge, f"SELECT id, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(mode AS BIGINT) AS mode FROM ({O.merged('SELECT l_orderkey AS id, l_linenumber * 6 + l_partkey % 7 AS start, 1 + l_suppkey % 6 AS length, 1 + l_partkey % 2 AS mode FROM lineitem')})"),
     "p_plan": (_plan("cloud", SECRETS_ONLY), _CLOUD_PLAN),
-    "p_summary": (p_summary, "SELECT c_custkey AS id, true AS is_sensitive, 99 AS conf, 3 AS severity, 'PasswordLike' AS primary_category FROM customer"),
     "p_allowlist": (p_allowlist, f"SELECT s.id, count(*) FILTER (WHERE h IS NOT NULL AND h <> 'example.com' AND NOT ends_with(h, '.example.com')) AS hosts FROM ({O.source('urls')}) s LEFT JOIN ({_URL_HOSTS}) u ON u.id = s.id GROUP BY s.id"),
-    "p_toggles_off": (p_toggles_off, "SELECT doc_id AS id, false AS is_sensitive, 0 AS n FROM documents"),
     "m_full": (_masks("cloud", SECRETS_ONLY), O.masked(O.source("cloud"), _CLOUD_PLAN)),
     "m_partial": (_masks("documents", EMAILS_ONLY), O.masked(O.source("documents"), O.merged(_EMAIL_SPANS))),
     "m_ip": (
@@ -195,7 +178,6 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
         O.masked(O.source("documents"), O.merged(f"SELECT id, start, length(m) AS length, 1 AS mode FROM ({O.matches(O.source('documents'), P.IPV4)}) WHERE regexp_matches(m, '{O.VALID_IPV4}')")),
     ),
     "m_preview": (m_preview, "SELECT o_orderkey AS id, repeat('*', (3 * length(t) + 3) // 4) || substr(t, (3 * length(t) + 3) // 4 + 1) AS preview FROM (SELECT o_orderkey, concat('Authorization: Bearer t', o_orderkey) AS t FROM orders)"),
-    "m_double": (m_double, O.masked(O.source("documents"), O.merged(_EMAIL_SPANS))),
     "m_html": (
         m_html,
         r"SELECT page_id AS id, md5(t) AS digest, length(t) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(html, '<.*?>', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages)",
@@ -211,7 +193,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
         i_line_gate,
         r"SELECT doc_id AS id, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS lines, CASE WHEN len(string_split(text, chr(10))) >= 1000 THEN 'layered' ELSE 'patterns' END AS route, coalesce(regexp_matches(text, '^\s*$'), true) AS ignored FROM documents",
     ),
-} | relational.QUERIES
+} | relational.QUERIES | extended.QUERIES
 
 
 def queries() -> dict[str, Query]:
@@ -219,4 +201,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql is not None} | extended.SQL

@@ -6,6 +6,7 @@ from __future__ import annotations
 PAYLOADS = {
     "documents": ("documents", "doc_id", "text"),
     "conversations": ("conversations", "conv_id * 1000 + turn", "text"),
+    "hosts": ("customer", "c_custkey", "concat('see node', c_custkey, '.example.com or mail u', c_custkey, '@h.example.org and a.b-c.net')"),
     "urls": ("pages", "page_id", "concat('see ', url, ' now')"),
     "db_uri": ("customer", "c_custkey", "concat('postgres://u', c_custkey, ':pw', c_custkey, '@10.', c_nationkey, '.0.', c_custkey % 250, ':5432/db', c_nationkey)"),
     "conn": ("supplier", "s_suppkey", "concat('Server=10.1.', s_nationkey, '.7,1433;Database=d', s_suppkey, ';User ID=u', s_suppkey, ';Password=p', s_suppkey, ';')"),

@@ -316,7 +316,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         SELECT b.id, coalesce((SELECT arg_max(op, seq) FROM l WHERE l.id = b.id AND l.seq > b.i AND op IN ('pin', 'unpin')) = 'pin', false) AS is_pinned FROM b WHERE i IS NOT NULL AND (d IS NULL OR d < i)""",
     ),
     "r_settings": (r_settings, "SELECT * FROM (VALUES (0, true, true, 0, 75), (1, true, true, 0, 75), (2, true, true, 0, 75), (3, false, true, 1, 75), (4, true, true, 0, 50)) v(id, mask_emails, mask_phones, domains, threshold)"),
-    "f_prefix_and": (_searches("Caf* alm"), _SR + f"contains({_TOKENS}, ' caf') AND contains({_TOKENS}, ' alm')"),
     "f_phrase_prefix": (_searches("café-1"), _SR + f"contains({_TOKENS}, ' cafe 1')"),
     "f_empty_term": (_searches("caf -"), _SR + "false"),
     "f_store_search": (f_store_search, "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderpriority = '1-URGENT'"),

@@ -181,10 +181,35 @@ def test_manifest_digest_and_outside_share(spark):
     shares = {r.split: r.outside_percent for r in S.split_report(df).collect()}
     for split in ("train", "val"):
         mine = [r for r in records if r[3] == split]
-        lines = {hashlib.sha256(json.dumps({"tokens": r[1], "tags": r[2]}, separators=(",", ":")).encode()).hexdigest()[:16] for r in mine}
-        assert digests[split] == hashlib.sha256("".join(sorted(lines)).encode()).hexdigest()
+        lines = [hashlib.sha256(json.dumps({"tokens": r[1], "tags": r[2]}, separators=(",", ":")).encode()).hexdigest() for r in mine]
+        halves = (sum(int(x[a : a + 16], 16) for x in lines) for a in (0, 16))
+        assert digests[split] == hashlib.sha256(":".join(map(str, halves)).encode()).hexdigest()
         assert shares[split] == round(100 * sum(t == "O" for r in mine for t in r[2]) / sum(len(r[2]) for r in mine), 2)
     assert {r.split: r.digest for r in S.manifest(df.orderBy(F.desc("tokens"))).collect()} == digests
+    assert {r.split: r.digest for r in S.manifest(df.unionByName(df.limit(1))).collect()} != digests, "a repeated record counts"
+    assert {tuple(r) for r in S.template_ids(df).collect()} == {(r[3], r[0]) for r in records}
+
+
+def test_row_split_falls_back_to_all(spark):
+    rows = spark.range(40).select(F.col("id").alias("k"))
+    got = [r.split for r in S.row_split(rows.limit(1), F.col("k")).collect()]
+    assert sorted(got) == ["test", "train", "val"] and S.row_split(rows.limit(0), F.col("k")).count() == 0
+
+
+def test_inference_by_length_with_errors():
+    import numpy as np
+
+    calls = []
+
+    def run(ids):
+        calls.append(ids.shape)
+        if (ids == 9).any():
+            raise ValueError("nine")
+        return np.stack([np.stack([row, row + 0.5], axis=1) for row in ids])
+
+    found, errors = ml.infer_batches(run, [[1, 2], [3], [4, 5], [9, 1], [], [6]])
+    assert found == [[[1, 1.5], [2, 2.5]], [[3, 3.5]], [[4, 4.5], [5, 5.5]], [], [], [[6, 6.5]]]
+    assert errors == [None, None, None, "ValueError: nine", None, None] and (2, 1) in calls and (3, 2) in calls
 
 
 def test_list_edit(spark):

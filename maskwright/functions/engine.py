@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from maskwright.functions import patterns as P
 from maskwright.settings import Settings
@@ -62,6 +62,14 @@ class Text:
     def has(self, *words: str) -> bool:
         return any(w in self.low for w in words)
 
+    @cached_property
+    def digit(self) -> bool:
+        return bool(compiled(r"\d").search(self.text))
+
+    @cached_property
+    def long_hex(self) -> bool:
+        return bool(compiled("[0-9a-f]{32}").search(self.low))
+
 
 def _each(t: Text, pattern: str, category: str, confidence: float, severity: int, order: int, keep: Callable[[re.Match[str]], bool] | None = None) -> Iterator[Finding]:
     """A finding for each match; of a pattern with groups, the second is the value."""
@@ -188,15 +196,15 @@ def environment_variables(t: Text, s: Settings, order: int) -> Iterable[Finding]
 
 
 def hashes_in_context(t: Text, s: Settings, order: int) -> Iterable[Finding]:
-    return _each(t, P.HASH_CONTEXT, "HashContext", 0.90, HIGH, order) if s.mask_hashes and t.has("md5", "sha1", "sha256", "sha512", "checksum", "hash") else ()
+    return _each(t, P.HASH_CONTEXT, "HashContext", 0.90, HIGH, order) if s.mask_hashes and t.long_hex and t.has("md5", "sha1", "sha256", "sha512", "checksum", "hash") else ()
 
 
 def standalone_hashes(t: Text, s: Settings, order: int) -> Iterable[Finding]:
-    return _each(t, P.HASH_ID, "HashId", 0.85, MEDIUM, order) if s.mask_hashes else ()
+    return _each(t, P.HASH_ID, "HashId", 0.85, MEDIUM, order) if s.mask_hashes and t.long_hex else ()
 
 
 def ipv4_addresses(t: Text, s: Settings, order: int) -> Iterator[Finding]:
-    if not (s.mask_private_ip or s.mask_public_ip):
+    if not (s.mask_private_ip or s.mask_public_ip) or not t.digit or "." not in t.text:
         return
     for m in compiled(P.IPV4).finditer(t.text):
         if valid_ipv4(m[0]):
@@ -222,11 +230,11 @@ def emails(t: Text, s: Settings, order: int) -> Iterator[Finding]:
 
 
 def phones(t: Text, s: Settings, order: int) -> Iterable[Finding]:
-    return _each(t, P.PHONE, "Phone", 0.90, MEDIUM, order) if s.mask_phones else ()
+    return _each(t, P.PHONE, "Phone", 0.90, MEDIUM, order) if s.mask_phones and t.digit and compiled(r"\d{3}[-.\s]?\d{4}").search(t.text) else ()
 
 
 def hostnames(t: Text, s: Settings, order: int) -> Iterable[Finding]:
-    if not s.mask_domains or not compiled("[a-zA-Z0-9]\\.[a-zA-Z0-9]").search(t.text):
+    if not s.mask_domains or not compiled(r"\.[a-zA-Z0-9]").search(t.text):
         return ()
     return _each(t, P.HOSTNAME, "Hostname", 0.80, LOW, order, lambda m: m.start() == 0 or t.text[m.start() - 1] != "@")
 

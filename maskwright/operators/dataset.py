@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import find_matches
+from maskwright.operators.detectors import lists
 
 # The layout of a log line, and what is redacted by what, in order.
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?)\s+\[(\w+)\]\s+([^:]+):\s+(.*)$"
@@ -29,20 +31,31 @@ def parse_log(line: Column) -> Column:
     return F.struct(part(1).alias("ts"), part(2).alias("level"), part(3).alias("category"), F.when(line.rlike(LOG_LINE), F.regexp_extract(line, LOG_LINE, 4)).otherwise(line).alias("message"))
 
 
-def _place(placeholder: str) -> Callable[[Column], Column]:
-    return lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["m"])).alias("end"), F.lit(placeholder).alias("placeholder"))
+REDACTED = "struct<text:string,findings:array<struct<start:int,end:int,placeholder:string>>>"
+_COMPILED = [(re.compile(pattern, re.A), placeholder) for pattern, placeholder in REDACTIONS]
+
+
+def redacted(message: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """Findings are places in the original; a replacement runs over what the ones before left, if its pattern hit the original."""
+    out, found = message, []
+    for rx, placeholder in _COMPILED:
+        hits = [(*m.span(), placeholder) for m in rx.finditer(message)]
+        if hits:
+            out, found = rx.sub(lambda _, p=placeholder: p, out), found + hits
+    return out, found
 
 
 def redact(message: Column) -> tuple[Column, Column]:
-    """(redacted message, findings as array<struct<start, end, placeholder>>).
+    """(redacted message, findings as array<struct<start, end, placeholder>>), on Arrow batches; a null message has neither."""
 
-    Findings are places in the original; a replacement runs over what the ones before left, if its pattern hit the original.
-    """
-    out, found = message, []
-    for pattern, placeholder in REDACTIONS:
-        out = F.when(message.rlike(pattern), F.regexp_replace(out, F.lit(pattern), F.lit(placeholder.replace("$", "\\$")))).otherwise(out)
-        found.append(F.transform(find_matches(message, pattern), _place(placeholder)))
-    return out, F.concat(*found)
+    @F.arrow_udf(REDACTED)
+    def done(messages: pa.Array) -> pa.Array:
+        rows = [(None, []) if x is None else redacted(x) for x in messages.to_pylist()]
+        fields = (("start", pa.int32()), ("end", pa.int32()), ("placeholder", pa.string()))
+        return pa.StructArray.from_arrays([pa.array([r for r, _ in rows], pa.string()), lists([f for _, f in rows], fields)], ["text", "findings"])
+
+    out = done(message)
+    return out["text"], out["findings"]
 
 
 def hash_split(key: Column) -> Column:

@@ -41,7 +41,7 @@ def _detects(source: str, *only: str, settings: Settings = Settings()) -> Query:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: documents, sensitive ones, findings of some categories and masked characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text")
-    rows = classify(docs).withColumn("masked", M.mask_plan(F.col("text"), F.col("result")))
+    rows = M.mask_twice(docs, "text", Settings(double_layer=False))
     count = lambda c: F.sum(F.size(F.filter("result.findings", lambda f: f["category"] == c))).cast("long")
     return rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"), F.count_if(F.col("result.is_sensitive")).alias("sensitive_docs"), count("Email").alias("emails"), count("Phone").alias("phones"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,9 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder of the session; one is set only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below the session's shared checkpoint folder: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
+
+    Only a session of one process may go without: it gets a folder of its own. A cluster without one is an error, as
+    executors do not see each other's folders.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/maskwright/{uuid.uuid4().hex}"

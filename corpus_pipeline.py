@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each stage's result as
 Parquet into the session's shared checkpoint folder and reads it again for the next one. All stages but the last return
-the columns of their input.
+the columns of their input, extra ones and those of clashing names included.
+
+A document without words (null, empty or white text) fails the quality rules. A null id passes through; of near duplicates the
+row of the least id stays (null first), then of the least text hash, then the first by its columns as JSON. Repeated rows count
+as near duplicates. Very long texts are read whole. An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.components import connected_components
-from maskwright.llm.support import materialize, shingle_sets, table, word_blocks, worker_cache
+from maskwright.llm.support import materialize, shingle_sets, table, trimmed, word_blocks, worker_cache
 
 #: Bits of the hash by which frequent shingles are told apart when ordering, and how many such cells are kept at most.
 CELL_BITS = 24
@@ -101,12 +101,13 @@ class _Frequent:
             yield self.flush()
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        cells = np.sort(np.concatenate([*self.held, np.zeros(0, np.uint32)]))
+        cells = np.concatenate([*self.held, np.zeros(0, np.uint32)])
         self.held, self.size = [], 0
-        edge = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))) if len(cells) else np.zeros(1, np.int64)
-        counts = np.diff(edge)
-        often = counts >= COUNT_LEAST
-        return cells[edge[:-1][often]].astype(np.int64), counts[often]
+        cells.sort()
+        # a cell that occurs k times equals the one COUNT_LEAST - 1 places on k - COUNT_LEAST + 1 times
+        apart = COUNT_LEAST - 1
+        often, more = np.unique(cells[:-apart][cells[:-apart] == cells[apart:]], return_counts=True)
+        return often.astype(np.int64), more + apart
 
 
 def _first_pass(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _first_pass(docs: DataFrame, n: int, seed: int) -> DataFrame:
             )
         yield cells(frequent.flush())
 
-    return docs.mapInArrow(batches, schema)
+    return docs.mapInArrow(trimmed(batches), schema)
 
 
 def _levels(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, seed: int, levels: tu
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(sids, np.int64), lengths))], ["sig", "sid"])
 
-    found = materialize(docs.select("text").mapInArrow(batches, "sig long, sid long"), "prefixes")
+    found = materialize(docs.select("text").mapInArrow(trimmed(batches), "sig long, sid long"), "prefixes")
     held.destroy()
     return found
 
@@ -217,7 +218,7 @@ def _bounded(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     member = sets.select("sid", "bitmap")
     pivot = sets.select(F.col("sid").alias("pivot"), F.col("bitmap").alias("pb"))
     rows = sized.filter("fit").join(member, "sid").join(pivot, "pivot").select("pivot", "sid", "n", "pn", "bitmap", "pb")
-    near = rows.mapInArrow(batches, "pivot long, sid long, n long, low double, may boolean")
+    near = rows.mapInArrow(trimmed(batches), "pivot long, sid long, n long, low double, may boolean")
     far = sized.filter("not fit").select("pivot", "sid", "n", (1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("low"), F.lit(False).alias("may"))
     return near.unionByName(far)
 
@@ -244,7 +245,7 @@ def _whole_sets(docs: DataFrame, n: int, seed: int, sids: DataFrame, sets: DataF
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(raw, pa.binary())], ["sid", "grams"])
 
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    found = texts.mapInArrow(batches, "sid long, grams binary")
+    found = texts.mapInArrow(trimmed(batches), "sid long, grams binary")
     # an id may be repeated with another text, and that one's set is not asked for; equal sets count once
     return found.join(wanted.select(F.col("wanted").alias("sid")).distinct(), "sid", "left_semi").dropDuplicates(["sid"])
 
@@ -271,7 +272,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     left = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     pivots = grams.select(F.col("sid").alias("a"), F.col("grams").alias("ga")).join(hubs, "a", "left").select("a", "ga", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = left.join(pivots, ["a", "salt"]).join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
-    return rows.select("a", "b", "ga", "gb").mapInArrow(batches, "a long, b long, distance double, linked boolean")
+    return rows.select("a", "b", "ga", "gb").mapInArrow(trimmed(batches), "a long, b long, distance double, linked boolean")
 
 
 CELL = ["pivot", "ring", "class"]
@@ -356,7 +357,7 @@ def _cell_pairs(ring: DataFrame, sets: DataFrame, num: int, den: int, best: bool
             compare()
         yield flush()
 
-    return rows.mapInArrow(batches, "pivot long, ring int, class int, la long, lb long, low double, a long, b long")
+    return rows.mapInArrow(trimmed(batches), "pivot long, ring int, class int, la long, lb long, low double, a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:

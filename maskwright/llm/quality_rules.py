@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.docstats import BASE, FEATURES, statistics
-from maskwright.llm.support import table, worker_cache
+from maskwright.llm.support import table, trimmed, worker_cache
 
 #: Labelled documents that the trees are grown from at most, the smallest by a hash of the id.
 MAX_TRAIN_ROWS = 20_000
@@ -132,7 +132,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.nda
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(feats), pa.list_(pa.float64()))], ["doc_id", "quality", "f"])
 
     # an id of several document rows counts once for each label, with the least of their statistics: never more rows than the sample
-    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(batches, "doc_id long, quality int, f array<double>")
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "quality").mapInArrow(trimmed(batches), "doc_id long, quality int, f array<double>")
     got = rows.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).toPandas()
     return np.array(got["f"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES)), got["quality"].to_numpy(np.float64)
 
@@ -165,7 +165,7 @@ def quality_rules(docs: DataFrame, trees: FlatTrees | None, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", "kept", "probability"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id long, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, kept boolean, probability double")
+    return rows.mapInArrow(trimmed(batches), f"doc_id long, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, kept boolean, probability double")
 
 
 def keep_good(docs: DataFrame, trees: FlatTrees | None, text_col: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, trees: FlatTrees | None, text_col: str = "text")
         for batch in it:
             yield batch.filter(pa.array(judge(*statistics(batch.column(at)), trees)[2]))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(trimmed(batches), docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text handled at once; bounds the size of every numpy temporary (a single longer text is one block).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+
+#: Rows and bytes of an Arrow batch while an intermediate table is written; a row may hold a whole text or shingle set.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -51,6 +54,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/maskwright/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, jobs send Arrow batches of at most ``BATCH``, so that what a worker holds does not follow the rows' sizes."""
+    before = {key: spark.conf.get(key) for key in BATCH}
+    try:
+        for key in BATCH:
+            spark.conf.set(key, str(min(int(BATCH[key]), _count(before[key]))))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _count(value: str) -> int:
+    """A setting of rows or bytes (with or without unit) as a number; none or not positive: no bound."""
+    got = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", value.strip().lower())
+    n = int(got[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[got[2]] if got else 0
+    return n if n > 0 else 1 << 31
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: a lineage cut every executor can reach.
 
@@ -58,7 +81,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,6 +129,16 @@ def task_memory() -> Iterator[None]:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over Arrow batches that gives back its memory when it ends."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with task_memory():
+            yield from batches(it)
+
+    return run
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 values."""
     h = h ^ (h >> np.uint64(30))

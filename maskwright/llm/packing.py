@@ -33,7 +33,7 @@ END_ID = 2
 #: Units whose ids a worker keeps (about 45 bytes each); beyond, the half that was met longest ago is forgotten. Costs time, not results.
 CACHED_UNITS = 500_000
 #: Bytes of text that are looked up together; a longer text is cut between words.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 #: Longer units are encoded each time they are met.
 LONG_UNIT = 256
 

@@ -1,7 +1,10 @@
 import ipaddress
+import random
 import re
 import time
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +122,17 @@ def test_tied_spans_merge_with_nothing_beyond_them(spark, tmp_path):
     assert got == [(7, 6, 5, 1), (106443, 9, 4, 2), (106443, 36, 2, 2), (106443, 45, 3, 2)]
 
 
+def test_spans_of_null_and_negative_keys_merge_as_in_sql(spark, tmp_path):
+    rng, keys = random.Random(3), (None, -16, -7, 0, 3, 13)  # no two give equal spans with a start, whose result in SQL is open
+    lines = {(order, rng.choice((None, 1, 1, 2, 3)), rng.choice(keys), rng.choice(keys)) for order in (None, *range(200)) for _ in range(4)}
+    spark.createDataFrame(list(lines), "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.execute(catalog.oracle_sql()["p_overlap_merge"]).fetchall()
+    assert any(start is None for _, start, _, _ in want) and any(start is not None and length is None for _, start, length, _ in want)
+    assert Counter(map(tuple, catalog.p_overlap_merge(spark, str(tmp_path)).collect())) == Counter(want)
+
+
 def test_user_name_needs_something_sensitive_before(spark):
     df = classify(rows(spark, ["http://bob@/", "http://bob@/ and a@b.co", "a@b.co http://bob@/"]), settings=Settings(**(OFF | {"mask_passwords": True, "mask_emails": True})))
     plans = {r.id: [(s.start, s.length) for s in r.result.plan] for r in df.collect()}
